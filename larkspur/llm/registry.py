@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, mixing
+from . import exact_dedup, fingerprint, mixing, packing
 
 
 def queries() -> dict:
     return {
+        "op1_pack_documents": packing.op1_pack_documents,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
