@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, mixing, packing
+from . import chat, exact_dedup, fingerprint, mixing, packing
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op1_pack_documents": packing.op1_pack_documents,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op9_chat_format": chat.op9_chat_format,
         "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_mix_sources": mixing.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_mix_sources": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
