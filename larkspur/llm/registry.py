@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, fingerprint, mixing, packing
+from . import chat, exact_dedup, fingerprint, mixing, packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pack_documents": packing.op1_pack_documents,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op9_chat_format": chat.op9_chat_format,
         "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
