@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, fingerprint, mixing, packing, toxicity
+from . import chat, exact_dedup, fingerprint, langid, mixing, packing, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_language_id": langid.op7_language_id,
         "op9_chat_format": chat.op9_chat_format,
         "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
     }
