@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, fingerprint, langid, mixing, packing, toxicity
+from . import chat, exact_dedup, fingerprint, jaccard, langid, mixing, packing, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_language_id": langid.op7_language_id,
+        "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_chat_format": chat.op9_chat_format,
         "op10_document_fingerprints": fingerprint.op10_document_fingerprints,
     }
