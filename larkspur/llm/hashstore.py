@@ -32,14 +32,14 @@ def write(uri: str, name: str, array: np.ndarray) -> None:
     path = local_path(uri)
     part = f"{name}.{uuid.uuid4().hex}.part"
     if path is not None:
-        os.makedirs(path, exist_ok=True)
+        os.makedirs(os.path.dirname(f"{path}/{name}"), exist_ok=True)
         np.save(f"{path}/{part}", array)
         os.replace(f"{path}/{part}.npy", f"{path}/{name}.npy")
         return
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(path, recursive=True)
+    store.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
     memory = io.BytesIO()
     np.save(memory, array)
     with store.open_output_stream(f"{path}/{part}") as out:
@@ -56,7 +56,7 @@ def read(uri: str, name: str, empty: np.dtype | type = np.uint64) -> np.ndarray:
         path = f"{path}/{name}.npy"
     if path is None or not os.path.exists(path):
         return np.empty(0, empty)
-    return np.load(path, mmap_mode="r")
+    return np.asarray(np.load(path, mmap_mode="r"))
 
 
 def _fetch(uri: str, name: str) -> str | None:
