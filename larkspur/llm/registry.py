@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, fingerprint, jaccard, kneser_ney, langid, mixing, packing, toxicity
+from . import chat, exact_dedup, fingerprint, jaccard, kneser_ney, langid, mixing, packing, repeats, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_lm_scoring": kneser_ney.op5_lm_scoring,
+        "op6_suffix_array_dedup": repeats.op6_suffix_array_dedup,
         "op7_language_id": langid.op7_language_id,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_chat_format": chat.op9_chat_format,
