@@ -1,11 +1,288 @@
-"""Registered queries and their SQL."""
+"""Registered queries: every operator family over the driver's tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import streaming
+from ..functions import embedding, text
+from ..operators import aggregates, evaluate, filters, graph, lifecycle, maintenance, recall, scoring
+from ..operators.filters import RecallFilters, Scope
+from ..operators.scoring import Engine, Query
+from ..sources.records import BASE_MS, HOUR_MS, chat_records, document_records, event_records, violations
+from .oracle import ORACLE
+
+NOW_MS = BASE_MS + 60 * HOUR_MS
+SCOPE = Scope("acme", "chat", "u3", source="user")
+TEXT = "the answer user que"
+
+
+def r6(*names: str) -> list[Column]:
+    return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
+
+
+def joined(c: str | Column, sep: str = ",") -> Column:
+    return F.array_join(c, sep)
+
+
+def _top(**q):
+    engine = Engine(**{k: q.pop(k) for k in list(q) if k in ("scorer", "scoring")})
+    query = Query(q.pop("text", TEXT), SCOPE, NOW_MS, **q)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return recall.recall(chat_records(spark, sf_dir), query, engine).select("id", "rank", *r6("total"))
+
+    return run
+
+
+def _parts(engine: Engine, names: list[str], words: str = TEXT):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = recall.candidates(chat_records(spark, sf_dir), Query(words, SCOPE, NOW_MS), engine)
+        return found.select("id", *[F.round(F.col("metadata_score" if n == "metadata" else n).cast("double"), 6).alias(n) for n in names])
+
+    return run
+
+
+def _ids(f: RecallFilters, scope: Scope | None = SCOPE):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        records = chat_records(spark, sf_dir)
+        if scope is None:
+            return records.filter(filters.not_expired(NOW_MS) & filters.passes(f)).select("id")
+        return filters.filtered(records, scope, f, NOW_MS).select("id")
+
+    return run
+
+
+def _modes(modes: dict[str, RecallFilters]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        records = chat_records(spark, sf_dir).filter(filters.not_expired(NOW_MS))
+        tags = F.array_compact(F.array(*[F.when(filters.passes(f), m) for m, f in modes.items()]))
+        return records.select("id", F.explode(tags).alias("mode"))
+
+    return run
+
+
+def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(p).alias("profile"), F.round(scoring.provenance("user", "CurrentOnly", p, "FastPath"), 6).alias("delta")) for p in scoring.POLICIES])
+    return chat_records(spark, sf_dir).select("id", F.explode(each).alias("x")).select("id", "x.profile", "x.delta")
+
+
+def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    queries = queries.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(F.array_remove(F.split("text", r"\s+"), ""), 1, 12), " ").alias("query_text"), F.lit("acme").alias("tenant_id"), F.lit("en").alias("namespace"))
+    return recall.recall_batch(document_records(spark, sf_dir), queries, 5).select("query_id", "id", *r6("total"), "rank")
+
+
+def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.recall(chat_records(spark, sf_dir), Query(TEXT, SCOPE, NOW_MS, max_items=8, token_budget=400)).select("id", "rank")
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = recall.trace(chat_records(spark, sf_dir), Query(TEXT, SCOPE, NOW_MS, max_items=5))
+    return t.select("record_id", "selected", "selection_rank", joined("filter_reasons").alias("filter_reasons"), "decision_reason", joined("matched_terms").alias("matched_terms"), joined("selected_channels").alias("selected_channels"))
+
+
+def _graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inspected_edges(graph.inspected_nodes(chat_records(spark, sf_dir))).withColumn("details", joined("details", ";"))
+
+
+def _graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inspected_nodes(chat_records(spark, sf_dir), max_nodes=50).select("id", "kind", text.per_mille(F.col("importance_score")).alias("importance_per_mille"))
+
+
+def _expand(hops: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kept = chat_records(spark, sf_dir).filter("historical_state = 'Current'")
+        seeds = kept.filter(F.col("conversation_id").isin("c3", "c13") & (F.col("episode.salience.reuse_count") == 0))
+        return graph.expand(kept, seeds, hops).select("id", *r6("graph"), "hop")
+
+    return run
+
+
+def _chat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_records(spark, sf_dir).unionByName(document_records(spark, sf_dir))
+
+
+def _shared_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one actor's, so that copies from several sources are duplicates."""
+    return document_records(spark, sf_dir).withColumn("actor_id", F.lit("shared"))
+
+
+def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat_records(spark, sf_dir).withColumn("idempotency_key", F.concat(F.lit("k-"), "id"))
+    turn = F.regexp_extract("id", r"-(\d+)$", 1).cast("int")
+    key = F.when(turn % 3 == 0, F.concat(F.lit("old-"), "id")).otherwise(aggregates.idempotency_key())
+    return aggregates.integrity_summary(records, records.select(key.alias("scoped_key"), F.col("id").alias("record_id")))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.compaction_plan(_shared_docs(spark, sf_dir), "acme").select("id", "place", "members", "superseded")
+
+
+def _rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = maintenance.rollups(_shared_docs(spark, sf_dir), "acme", NOW_MS, summarize_after=3)
+    return rows.select("id", F.size("lineage").cast("long").alias("members"), *r6("importance_score"), joined(F.col("lineage.record_id")).alias("lineage"), "content")
+
+
+def _synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = maintenance.synthesis_proposals(chat_records(spark, sf_dir), "acme", "review", NOW_MS, 2, 3)
+    return rows.select("id", joined("source_record_ids").alias("source_record_ids"), "confidence", *r6("importance_score"), "content")
+
+
+def _synthesis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat_records(spark, sf_dir)
+    scanned = records.agg(F.count("*").alias("scanned"), F.count_if(filters.synthesizable("acme")).alias("eligible"))
+    taken = maintenance.synthesis_groups(records, "acme", 2, 3).agg(F.count_if(F.col("place") == 1).alias("proposed"), F.count("*").alias("lineage_links"))
+    return scanned.join(F.broadcast(taken))  # one row each
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_records(spark, sf_dir)
+    n = F.substring("id", 5, 20).cast("long")
+    fields = lambda content, state: F.struct(F.col("id"), content.alias("content"), state.alias("quality_state"))
+    first = docs.select(F.col("id").alias("record_id"), F.col("updated_at_unix_ms").alias("observed_at_ms"), fields(F.col("content"), F.col("quality_state")).alias("record"))
+    second = docs.filter(n % 7 == 0).select(F.col("id").alias("record_id"), (F.col("updated_at_unix_ms") + HOUR_MS).alias("observed_at_ms"), fields(F.concat(F.lit("v2 "), n), F.lit("Active")).alias("record"))
+    gone = docs.filter(n % 11 == 0).select(F.col("id").alias("record_id"), (F.col("updated_at_unix_ms") + 2 * HOUR_MS).alias("observed_at_ms"), F.lit(None).cast(second.schema["record"].dataType).alias("record"))
+    return first.unionByName(second).unionByName(gone)
+
+
+def _as_of_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lifecycle.as_of(_versions(spark, sf_dir), BASE_MS + 5 * HOUR_MS).filter("quality_state = 'Active'")
+    return rows.select("id", text.count_terms(text.ascii_lower(F.col("content")), ["the", "v2"]).cast("double").alias("lexical")).filter("lexical > 0")
+
+
+def _tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = _versions(spark, sf_dir).groupBy("record_id").agg(F.max_by(F.col("record").isNull(), "observed_at_ms").alias("gone"))
+    return last.filter("gone").select("record_id")
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    feed = e.select((F.col("event_id") + 1).alias("sequence"), F.lit("Upserted").alias("kind"), F.concat(F.lit("evt-"), "event_id").alias("record_id"), F.lit("acme").alias("tenant_id"), F.lit("events").alias("namespace"))
+    return lifecycle.changefeed_page(feed, 50, "acme")[0].select("sequence", "record_id")
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 100th vector against all; the queries are broadcast below a checked number, and norms are worked out once a vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = rows.select("vec_id", "embedding", "label", norm.alias("norm"))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"), F.col("label").alias("query_label"))
+    if asked.count() <= 50_000:
+        asked = F.broadcast(asked)
+    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(asked, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", "query_label", "label", F.round(dot / (F.col("norm") * F.col("qn")), 6).alias("similarity"))
+
+
+def _ranked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return _nearest(spark, sf_dir).withColumn("rank", F.row_number().over(best))
+
+
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_vectors(spark, sf_dir).filter("rank <= 10").select("query_id", "vec_id", "similarity", "rank")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _ranked_vectors(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("record_id"), "rank", (F.col("label") == F.col("query_label")).alias("same"))
+    return evaluate.ranking_metrics(r.select("case_id", "record_id", "rank"), r.filter("same").select("case_id", "record_id"), r.select("case_id").distinct(), 10)
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").cast("string").alias("case_id")).agg(F.collect_set("role").alias("ranked"))
+    none = F.array().cast("array<string>")
+    return evaluate.case_results(c.withColumns({"expected": F.array(F.lit("user")), "optional": none, "disallowed": F.array(F.lit("system")), "required_notes": none, "notes": none})).select("case_id", "passed")
+
+
+def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.approximate_tokens(t, F.lit(None)).alias("approximate_tokens"), F.octet_length(t).cast("long").alias("bytes"), text.snippet(t).alias("snippet"), text.ascii_lower(F.substring(text.trimmed(t), 1, 40)).alias("lowered"))
+
+
+def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents broken in five ways by their id, counted by the rule that they break first."""
+    kind = F.substring("id", 5, 20).cast("long") % 5
+    bad = document_records(spark, sf_dir).withColumn("kind", F.col("kind")).withColumns({"actor_id": F.when(kind == 1, " ").otherwise(F.lit("a")), "importance_score": F.when(kind == 2, 1.5).otherwise(F.lit(0.5)), "content": F.when(kind == 3, "\n").otherwise(F.lit("c")), "namespace": F.when(kind == 4, "").otherwise(F.lit("n"))})
+    rule = F.get(violations(), F.lit(0))
+    number = F.when(rule.isNull(), 0).when(rule == "actor_id", 1).when(rule == "importance_score", 2).when(rule == "content", 3).when(rule == "namespace", 4)
+    return bad.groupBy(number.cast("long").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _minute(c: str, form: str = "yyyy-MM-dd HH:mm") -> Column:
+    return F.date_format(c, form).alias(c)
+
+
+def _embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", embedding.hash_embedding(F.col("text")).alias("v"))
+    return rows.select("item_id", F.size("v").alias("dimensions"), F.round(embedding.cosine("v", "v"), 6).alias("own"))
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(embedder=embedding.hash_embedding, provider_note="deterministic_local")
+    return recall.recall(chat_records(spark, sf_dir), Query(TEXT, SCOPE, NOW_MS), engine).select("id", "rank", *r6("semantic", "total"))
+
+
+def _continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("what led to the answer", SCOPE, NOW_MS, max_items=20, filters=RecallFilters(unresolved_only=True))
+    return recall.recall(chat_records(spark, sf_dir), q, Engine(max_hops=2)).select("id", "rank", "planner_stage", joined("candidate_sources").alias("candidate_sources"), joined("relation_reasons").alias("relation_reasons"), *r6("graph", "total"))
+
+
+def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = recall.explain(chat_records(spark, sf_dir), Query(TEXT, SCOPE, NOW_MS, token_budget=400))
+    return row.select("total_candidates_examined", joined("selected_channels").alias("selected_channels"), joined("policy_notes").alias("policy_notes"))
+
+
+def _retention(policy: maintenance.Retention, source):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return maintenance.retention_plan(source(spark, sf_dir), policy, NOW_MS).select("id", "action")
+
+    return run
+
+
+QUERIES = {
+    "recall_relevance": _top(), "recall_lexical_first": _top(scoring="LexicalFirst"), "recall_importance_first": _top(scoring="ImportanceFirst"), "recall_curated": _top(scorer="Curated"),
+    "recall_empty_recent": _top(text=" "), "recall_chrono_asc": _top(temporal_order="ChronologicalAsc"), "recall_chrono_desc": _top(temporal_order="ChronologicalDesc"),
+    "score_breakdown": _parts(Engine(), ["lexical", "temporal", "metadata", "episodic", "salience", "policy", "total"]),
+    "score_curated_breakdown": _parts(Engine(scorer="Curated"), ["lexical", "temporal", "metadata", "episodic", "salience", "curation", "policy", "total"]),
+    "score_temporal_context": _parts(Engine(), ["temporal", "total"], "the timeline recurring handoff"),
+    "score_salience": lambda s, d: chat_records(s, d).select("id", F.round(scoring.salience(), 6).alias("salience")),
+    "score_provenance_5_profiles": _provenance, "recall_batched_benchmark": _batched, "recall_token_budget": _budget, "recall_trace": _trace, "recall_explanation": _explain, "recall_semantic": _semantic, "recall_continuity_expansion": _continuity,
+    "filter_scope": _ids(RecallFilters(), Scope("acme", "chat", "u3", conversation_id="c3")),
+    "filter_time_range": _ids(RecallFilters(updated_from_ms=BASE_MS + 10 * HOUR_MS, updated_to_ms=BASE_MS + 50 * HOUR_MS, min_importance=0.4)),
+    "filter_labels_all": _ids(RecallFilters(required_labels=("chat", "user"))), "filter_trust_kind": _ids(RecallFilters(trust_levels=("Verified", "Observed"), kinds=("Episodic", "Fact"), source="user")),
+    "filter_unresolved": _ids(RecallFilters(unresolved_only=True)), "filter_lineage": _ids(RecallFilters(lineage_record_id="conv-23-0")), "filter_relative_anchor": _ids(RecallFilters(after_record_id="conv-3-0", before_record_id="conv-43-0")),
+    "filter_boundary_recurrence": _ids(RecallFilters(boundary_labels=("handoff",), recurrence_key="weekly"), Scope("acme", "chat", "u5")), "filter_conflict": _ids(RecallFilters(conflict_states=("PotentialConflict", "UnderReview", "Resolved")), None),
+    "filter_conflict_resolution": _ids(RecallFilters(conflict_resolutions=("Accepted",)), None), "filter_unresolved_conflicts": _ids(RecallFilters(unresolved_conflicts_only=True), None),
+    "filter_historical_modes": _modes({"HistoricalOnly": RecallFilters(historical_mode="HistoricalOnly"), "IncludeHistorical": RecallFilters(historical_mode="IncludeHistorical")}),
+    "filter_quality_visibility": _modes({"archived": RecallFilters(include_archived=True), "drafts": RecallFilters(states=("Draft",))}), "filter_episode": _ids(RecallFilters(episode_id="c23", continuity_states=("Open", "Abandoned"))),
+    "graph_edges": _graph_edges, "graph_nodes_capped": _graph_nodes, "expand_one_hop": _expand(1), "expand_two_hops": _expand(2),
+    "namespace_stats": lambda s, d: aggregates.namespace_stats(_chat_docs(s, d)), "maintenance_stats": lambda s, d: aggregates.maintenance_stats(chat_records(s, d), NOW_MS),
+    "duplicate_groups": lambda s, d: aggregates.duplicate_groups(_shared_docs(s, d)).select("namespace", "members", "first_id"), "integrity_summary": _integrity,
+    "compaction_plan": _plan, "compaction_rollups": _rollups, "cold_tier_candidates": lambda s, d: chat_records(s, d).filter(filters.cold(NOW_MS, 1)).select("id"),
+    "retention_plan": _retention(maintenance.Retention(ttl_days=2, archive_after_days=1, max_records_per_namespace=10**9), chat_records), "retention_cap": _retention(maintenance.Retention(max_records_per_namespace=100), lambda s, d: _chat_docs(s, d).filter(filters.not_expired(NOW_MS))),
+    "synthesis_proposals": _synthesis, "synthesis_counts": _synthesis_counts, "export_manifest": lambda s, d: aggregates.export_manifest(document_records(s, d)), "snapshot_manifest": lambda s, d: aggregates.snapshot_manifest(_chat_docs(s, d)),
+    "import_merge_plan": lambda s, d: document_records(s, d).select("id").join(document_records(s, d).filter(F.substring("id", 5, 20).cast("long") % 3 == 0).select("id"), "id", "left_anti"),
+    "changefeed_page": _feed, "as_of_snapshot": lambda s, d: lifecycle.as_of(_versions(s, d), BASE_MS + 5 * HOUR_MS), "version_tombstones": _tombstones, "as_of_recall": _as_of_recall,
+    "cosine_topk": _cosine, "ir_metrics": _metrics, "case_assertions": _cases, "hash_embed_dims": _embed,
+    "latency_summary": lambda s, d: aggregates.latency_summary(_events(s, d), "value", "event_type").withColumn("mean", F.round("mean", 6)),
+    "event_chains": lambda s, d: event_records(s, d).select("id", F.col("episode.continuity_state").alias("ep_state"), F.col("episode.previous_record_id").alias("prev"), F.col("episode.next_record_id").alias("next"), *r6("importance_score")),
+    "events_unresolved": lambda s, d: event_records(s, d).filter(filters.passes(RecallFilters(unresolved_only=True, min_importance=0.1))).select("id"),
+    "text_functions": _text, "validation_failures": _validation, "lifecycle_archive": lambda s, d: lifecycle.archive(chat_records(s, d), NOW_MS).select("id", F.lit("Archived").alias("quality_state"), "historical_state", "changed"),
+    "tumbling_counts": lambda s, d: streaming.tumbling_counts(_events(s, d), "ts", "1 hour", "event_type").withColumn("window_start", _minute("window_start")),
+    "sliding_counts": lambda s, d: streaming.sliding_counts(_events(s, d), "ts", "2 hours", "1 hour", "event_type").withColumn("window_start", _minute("window_start")),
+    "sessionized_events": lambda s, d: streaming.sessions(_events(s, d), "ts", "30 minutes", "user_id").withColumn("session_start", _minute("session_start", "yyyy-MM-dd HH:mm:ss")),
+    "stream_dedup": lambda s, d: streaming.first_of_each(_events(s, d), "ts", "1 hour", "user_id", "event_type").agg(F.count("*").alias("n")),
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
