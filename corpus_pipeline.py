@@ -31,8 +31,8 @@ SHARE_PERCENT = 90
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, weights = langid.train(docs.select("doc_id", "text", "lang"))
     kept = tuple(docs.columns)
-    labelled = langid.predict(docs, langs, weights, kept).filter("lang_pred <> 'und'")
-    return labelled.withColumn("lang", F.col("lang_pred")).select(*kept)
+    labelled = langid.predict(docs, langs, weights, kept, ("_lang_pred", "_lang_score")).filter("_lang_pred <> 'und'")
+    return labelled.withColumn("lang", F.col("_lang_pred")).select(*kept)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def with_next(rows: DataFrame, id_col: str, order: list[str], carry: dict[str, s
     firsts = sorted({splits["m"], *(splits["q"] or [])} - {None})
     if firsts:
         bounds = F.array(*[F.lit(x) for x in firsts])
-        own = F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col(id_col))) - 1, F.lit(0))
+        own = F.greatest(F.size(F.filter(bounds, lambda x: x <= F.col(id_col))) - 1, F.lit(0))
         n = len(firsts)
         before = F.pmod(F.col("_range") - 1, F.lit(n))
         leads = F.coalesce(F.get(bounds, F.col("_range")) == F.col(id_col), F.lit(False))

@@ -179,16 +179,16 @@ def train(rows: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], Weights |
     return langs, fit(windows, label, len(langs))
 
 
-def predict(docs: DataFrame, langs: list[str], weights: Weights | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' columns in keep with lang_pred and score."""
+def predict(docs: DataFrame, langs: list[str], weights: Weights | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns in keep with the predicted language and its probability, as names."""
     ship = docs.sparkSession.sparkContext.broadcast((langs, weights))
     kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, w = ship.value
+        known_langs, w = ship.value
         for batch in batches:
             n = len(batch)
-            total = np.zeros((n, max(1, len(names))))
+            total = np.zeros((n, max(1, len(known_langs))))
             letters = batch.column(kept + 1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in chunks(batch.column(kept)) if w is not None else ():
                 size = np.diff(offsets) * letters[lo:hi]
@@ -208,12 +208,12 @@ def predict(docs: DataFrame, langs: list[str], weights: Weights | None, keep: tu
             sums = total.sum(1)
             known = sums > 0
             best = total.argmax(1)
-            lang = [names[k] if ok else "und" for k, ok in zip(best, known)]
+            lang = [known_langs[k] if ok else "und" for k, ok in zip(best, known)]
             value = np.where(known, total[np.arange(n), best] / np.where(known, sums, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(lang, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(lang, pa.string()), pa.array(value)], names=[*keep, *names])
 
-    rows = docs.select(*keep, text_of().alias("_text"), text_of().rlike(r"\p{L}").alias("_letter"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    rows = docs.select(*keep, text_of().alias("_whole_text"), text_of().rlike(r"\p{L}").alias("_has_letter"))
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(run, schema)
 
 

@@ -16,6 +16,8 @@ import numpy as np
 
 #: Chunks remembered in a worker before it starts afresh; bounds its memory.
 REMEMBERED = 1_000_000
+#: Unicode white space, for use inside a character class.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_chars() -> list[str]:
@@ -45,12 +47,13 @@ class WordIds(dict):
             spec = json.load(f)
         self.specials = [x["content"] for x in spec["added_tokens"]]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern).findall
+        # \s would also match the separators U+001C to U+001F, which aren't Unicode white space
+        self.pieces = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.table = {i: c for i, c in enumerate(byte_chars())}
         self.known: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        raw = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
         ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
         return ids
 
