@@ -38,7 +38,7 @@ from .bytesops import ODD, U, chunks, mix, words
 from .common import bucket_of_id, durable, fresh, table, text_of
 
 #: Bytes of text that are counted together; bigrams in a shard, about; bytes of a word's hash in a bigram.
-FLUSH, SHARD, WORD_BYTES = 16 << 20, 1 << 22, 5
+FLUSH, SHARD, WORD_BYTES = 10 << 20, 1 << 20, 5
 BEGIN, END = U(0x5BD1E9955BD1E995), U(0xC2B2AE3D27D4EB4F)
 _CUT = U(64 - 8 * WORD_BYTES)
 
