@@ -3,7 +3,8 @@
 Each five-word shingle is hashed once. The top bits of the hash choose one of BINS
 bins, the least hash of a bin is its sketch, and an empty bin copies the sketch of a
 bin that is found by hashing (own bin, attempt) until a filled one is met (optimal
-densification). A fingerprint stores the low BITS bits of each bin; two unlike bins
+densification). A fingerprint stores the low BITS bits of each bin's sketch, hashed
+with the bin's number so that copies of one sketch don't agree or differ all at once; two unlike bins
 agree by chance with probability 2^-BITS, which ``likeness`` corrects for.
 
 Cases: words are runs without ASCII white space, in their own case; fewer than five
@@ -42,15 +43,15 @@ def sketch(hashes: Column, bins: int = BINS, bits: int = BITS) -> Column:
     """array<int> of bins low-order values; empty if there are no hashes."""
     width = bins.bit_length() - 1
     bin_of = lambda x: F.shiftright(x, 64 - width) + bins // 2  # noqa: E731  ascending with the signed hash
-    low = lambda x: F.shiftrightunsigned(F.shiftleft(x, 64 - bits), 64 - bits).cast("int")
+    low = lambda x, b: F.xxhash64(x, b).bitwiseAND((1 << bits) - 1).cast("int")
 
     def minima(s: Column) -> Column:
         return F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))
 
     def dense(m: Column) -> Column:
-        gap = lambda n: F.array_repeat(F.lit(None).cast("int"), n.cast("int"))
+        gap = lambda n: F.array_repeat(F.lit(None).cast("long"), n.cast("int"))
         after = lambda i: F.coalesce(bin_of(F.get(m, i + 1)), F.lit(bins).cast("long"))
-        filled = F.transform(m, lambda x, i: F.concat(F.array(low(x)), gap(after(i) - bin_of(x) - 1)))
+        filled = F.transform(m, lambda x, i: F.concat(F.array(x), gap(after(i) - bin_of(x) - 1)))
         return F.concat(gap(bin_of(m[0])), F.flatten(filled))
 
     def densify(d: Column) -> Column:
@@ -64,7 +65,7 @@ def sketch(hashes: Column, bins: int = BINS, bits: int = BITS) -> Column:
         return F.transform(d, lambda v, b: F.coalesce(v, probe(b, 1, TRIES[0]), probe(b, TRIES[0] + 1, TRIES[1]), round_about(b)))
 
     none = F.array().cast("array<int>")
-    return let(hashes, lambda h: F.when(F.size(h) == 0, none).otherwise(let(let(let(F.sort_array(h), minima), dense), densify)))
+    return let(hashes, lambda h: F.when(F.size(h) == 0, none).otherwise(F.transform(let(let(let(F.sort_array(h), minima), dense), densify), low)))
 
 
 def pack(values: Column) -> Column:
