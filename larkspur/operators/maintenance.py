@@ -60,14 +60,16 @@ def summary_id(*signature: str) -> Column:
 
 
 def clusters(records: DataFrame, tenant_id: str, namespace: str | None = None) -> DataFrame:
-    """Live records in groups of equal signature, two at least, with place (1 stays), members and summary_id.
+    """Live records in groups of equal signature, two at least: id, place (1 stays), members, summary_id, importance_score.
 
-    Ranking needs a group's rows together; only rows of groups that have a second member go there, by key columns alone.
+    Texts become a digest before anything moves; groups are counted with map-side sums, and only
+    narrow rows of groups with a second member are ranked.
     """
     rows = with_signature(records.filter(admin_scope(tenant_id, namespace) & live()))
-    newest = Window.partitionBy(*SIGNATURE).orderBy(F.desc("updated_at_unix_ms"), F.desc("importance_score"), "id")
-    sized = rows.withColumn("place", F.row_number().over(newest)).withColumn("members", F.count("*").over(Window.partitionBy(*SIGNATURE)))
-    return sized.filter("members > 1").withColumn("summary_id", summary_id(*SIGNATURE))
+    rows = rows.select("id", "updated_at_unix_ms", "importance_score", F.unhex(F.sha2(F.to_json(F.struct(*SIGNATURE)).cast("binary"), 256)).alias("_sig"), summary_id(*SIGNATURE).alias("summary_id"))
+    several = rows.groupBy("_sig").agg(F.count("*").alias("members")).filter("members > 1")
+    newest = Window.partitionBy("_sig").orderBy(F.desc("updated_at_unix_ms"), F.desc("importance_score"), "id")
+    return rows.join(several, "_sig").withColumn("place", F.row_number().over(newest)).drop("_sig", "updated_at_unix_ms")
 
 
 def compaction_plan(records: DataFrame, tenant_id: str, namespace: str | None = None) -> DataFrame:
@@ -80,9 +82,9 @@ def rollups(records: DataFrame, tenant_id: str, now_ms: int, namespace: str | No
     if not summarize_after:
         return conform(records.limit(0))
     big = clusters(records, tenant_id, namespace).filter(F.col("members") >= summarize_after)
-    first = big.filter("place = 1")
-    links = big.groupBy(F.col("summary_id")).agg(F.max("importance_score").alias("_top"), F.array_sort(F.collect_list(F.struct("place", "id"))).alias("_members"))
-    rows = first.join(links, "summary_id")
+    first = big.filter("place = 1").select("id", "summary_id", "members")
+    links = big.groupBy("summary_id").agg(F.max("importance_score").alias("_top"), F.array_sort(F.collect_list(F.struct("place", "id"))).alias("_members"))
+    rows = records.join(first.join(links, "summary_id"), "id")
     said = F.when(F.coalesce(trimmed(F.col("summary")), F.lit("")) != "", F.col("summary")).otherwise(F.col("content"))
     labels = F.when(F.array_contains("labels", "compacted"), F.col("labels")).otherwise(F.array_append("labels", F.lit("compacted")))
     return conform(rows.withColumns({

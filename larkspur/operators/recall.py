@@ -21,47 +21,58 @@ def candidates(records: DataFrame, q: Query, e: Engine) -> DataFrame:
     return found.unionByName(contextual(reached, q, e))
 
 
-def order_of(q: Query) -> list[Column]:
+def order_key(q: Query) -> Column:
+    """A struct that sorts ascending in the query's order; ids break ties."""
     anchor = temporal_anchor()
+    parts = [-F.col("total")]
     if q.temporal_order == "ChronologicalAsc":
-        return [anchor.asc(), F.desc("total"), F.asc("id")]
-    if q.temporal_order == "ChronologicalDesc":
-        return [anchor.desc(), F.desc("total"), F.asc("id")]
-    if q.blank:
-        return [anchor.desc(), F.desc("importance_score"), F.asc("id")]
-    return [F.desc("total"), F.asc("id")]
+        parts = [anchor, *parts]
+    elif q.temporal_order == "ChronologicalDesc":
+        parts = [-anchor, *parts]
+    elif q.blank:
+        parts = [-anchor, -F.col("importance_score")]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)], F.col("id"))
 
 
-def within_budget(ranked: DataFrame, budget: int, max_items: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def within_budget(sized: DataFrame, budget: int, max_items: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Ids a greedy walk takes: the first always, then each that fits what is left, at most max_items; with selection_rank.
 
-    ranked has rank and tokens. Rows that can never be taken (over the budget, but
-    for rank 1) go first, so the fold's state stays small: it stops growing at max_items.
+    sized has order (ascending), id and tokens. Of rows with the same number of tokens only the first
+    max_items can ever be taken, and rows over the budget only as the very first, so the
+    walk folds over budget x max_items rows at most, however many candidates there are.
     """
     fold = F.expr(
         f"""aggregate(items, named_struct('left', cast({int(budget)} as bigint), 'ids', cast(array() as array<string>)),
             (s, x) -> if(size(s.ids) < {int(max_items)} and (size(s.ids) = 0 or x.tokens <= s.left),
                          named_struct('left', greatest(s.left - x.tokens, 0L), 'ids', array_append(s.ids, x.id)), s), s -> s.ids)"""
     )
-    able = ranked.filter((F.col("tokens") <= budget) | (F.col("rank") == 1))
-    walk = able.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "tokens"))).alias("items"))
+    best = sized.groupBy(*keys).agg(F.min_by(F.struct("order", "id", "tokens"), "order").alias("b")).filter(F.col("b.tokens") > budget).select(*keys, "b.*")
+    alike = Window.partitionBy(*keys, "tokens").orderBy("order")
+    able = sized.filter(F.col("tokens") <= budget).withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= max_items).select(*keys, "order", "id", "tokens")
+    walk = able.unionByName(best).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order", "id", "tokens"))).alias("items"))
     return walk.select(*keys, F.posexplode(fold).alias("at", "id")).select(*keys, "id", (F.col("at") + 1).alias("selection_rank"))
 
 
-def ranked(found: DataFrame, q: Query) -> DataFrame:
-    """All candidates with rank; one query's candidates are one scope's, already filtered."""
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_of(q))))
+def selected(found: DataFrame, q: Query) -> DataFrame:
+    """(id, selection_rank) of what the query returns: no task sees more than its own first rows, or the budget's bounded walk."""
+    sized = found.select(order_key(q).alias("order"), "id", text.approximate_tokens(F.col("content"), F.col("summary")).alias("tokens"))
+    if q.token_budget is not None:
+        return within_budget(sized, q.token_budget, q.max_items)
+    return first_rows(sized, q.max_items, "selection_rank")
+
+
+def first_rows(sized: DataFrame, n: int, name: str) -> DataFrame:
+    top = sized.select("order", "id").orderBy("order").limit(n)
+    return top.select("id", F.row_number().over(Window.orderBy("order")).alias(name))  # n rows at most
 
 
 def recall(records: DataFrame, q: Query, e: Engine = Engine()) -> DataFrame:
-    """The selected records in order: all record columns, score parts, rank."""
+    """The selected records: all record columns, score parts, rank from 1."""
     found = candidates(records, q, e)
-    if q.token_budget is None:  # a bounded sort: no task sees more than its own top items
-        top = found.orderBy(*order_of(q)).limit(q.max_items)
-        return ranked(top, q)
-    sized = ranked(found, q).withColumn("tokens", text.approximate_tokens(F.col("content"), F.col("summary")))
-    taken = within_budget(sized.select("rank", "id", "tokens"), q.token_budget, q.max_items)
-    return sized.join(taken, "id").withColumn("rank", F.col("selection_rank")).drop("selection_rank", "tokens")
+    if q.token_budget is None:  # one pass: the rows themselves are the bounded sort's
+        key = order_key(q)
+        return found.orderBy(key).limit(q.max_items).withColumn("rank", F.row_number().over(Window.orderBy(key)))
+    return found.join(F.broadcast(selected(found, q)), "id").withColumnRenamed("selection_rank", "rank")  # max_items rows
 
 
 def channels(q: Query) -> Column:
@@ -73,19 +84,16 @@ def channels(q: Query) -> Column:
 def trace(records: DataFrame, q: Query, e: Engine = Engine()) -> DataFrame:
     """Why each candidate was selected or not."""
     found = candidates(records, q, e)
-    sized = ranked(found, q).withColumn("tokens", text.approximate_tokens(F.col("content"), F.col("summary")))
-    if q.token_budget is None:
-        taken = sized.filter(F.col("rank") <= q.max_items).select("id", F.col("rank").alias("selection_rank"))
-    else:
-        taken = within_budget(sized.select("rank", "id", "tokens"), q.token_budget, q.max_items)
-    all_rows = sized.join(taken, "id", "left")
-    selected = F.col("selection_rank").isNotNull()
-    reasons = F.when(selected, F.array(F.lit("retained"))).otherwise(
-        F.array_compact(F.array(F.when(F.col("rank") > q.max_items, "max_items_exhausted"), F.lit("token_budget_exhausted" if q.token_budget is not None else None).cast("string")))
-    )
+    taken = F.broadcast(selected(found, q))  # max_items rows
+    first = F.broadcast(first_rows(found.select(order_key(q).alias("order"), "id"), q.max_items, "rank"))
+    all_rows = found.join(taken, "id", "left").join(first, "id", "left")
+    chosen = F.col("selection_rank").isNotNull()
+    late = F.when(F.col("rank").isNull(), "max_items_exhausted")
+    budget = F.lit("token_budget_exhausted" if q.token_budget is not None else None).cast("string")
+    reasons = F.when(chosen, F.array(F.lit("retained"))).otherwise(F.array_compact(F.array(late, budget)))
     return all_rows.select(
-        F.col("id").alias("record_id"), "kind", selected.alias("selected"), "planner_stage", "candidate_sources", "relation_reasons", "selection_rank", "matched_terms", channels(q).alias("selected_channels"), reasons.alias("filter_reasons"),
-        F.when(selected, "selected_by_rank").otherwise("excluded_by_rank_or_budget" if q.token_budget is not None else "excluded_by_rank").alias("decision_reason"), *PARTS,
+        F.col("id").alias("record_id"), "kind", chosen.alias("selected"), "planner_stage", "candidate_sources", "relation_reasons", "selection_rank", "matched_terms", channels(q).alias("selected_channels"), reasons.alias("filter_reasons"),
+        F.when(chosen, "selected_by_rank").otherwise("excluded_by_rank_or_budget" if q.token_budget is not None else "excluded_by_rank").alias("decision_reason"), *PARTS,
     )
 
 
