@@ -59,6 +59,21 @@ def read_records(spark: SparkSession, path: str, form: str = "parquet") -> DataF
     return conform(reader.format(form).option("multiLine", form == "json").load(path))
 
 
+def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, cases) of a JSON document that holds both as arrays."""
+    whole = spark.read.schema(f"records array<struct<{', '.join(f'{k}: {v}' for k, v in SCHEMA.items())}>>, cases array<struct<name: string, query_text: string, relevant_record_ids: array<string>, max_items: int>>").option("multiLine", True).json(path)
+    return conform(whole.select(F.explode("records").alias("r")).select("r.*")), whole.select(F.explode("cases").alias("c")).select("c.*")
+
+
+def to_json() -> Column:
+    """A record row as JSON text; from_json reads it back."""
+    return F.to_json(F.struct(*SCHEMA))
+
+
+def from_json(text: Column) -> Column:
+    return F.from_json(text, f"struct<{', '.join(f'{k}: {v}' for k, v in SCHEMA.items())}>")
+
+
 def episode(**fields: Column) -> Column:
     """An episode struct; fields not given take their defaults."""
     none = {n: F.lit(None) for n in ("summary", "goal", "outcome", "started_at_unix_ms", "ended_at_unix_ms", "last_active_unix_ms", "recurrence_key", "recurrence_interval_ms", "boundary_label", "previous_record_id", "next_record_id", "affective")}

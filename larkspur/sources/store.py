@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle
-from ..operators.aggregates import exported, idempotency_key
-from ..operators.maintenance import Retention, apply_retention, compact, repair_mappings, synthesis_proposals
+from ..operators.aggregates import exported, idempotency_key, integrity_summary, missing_mappings, parse_idempotency, stale_mappings
+from ..operators.filters import admin_scope
+from ..operators.maintenance import Retention, apply_retention, compact, compaction_plan, repair_mappings, synthesis_proposals
 from .records import DDL, SCHEMA, conform, violations
 
 MAX_BATCH = 256
@@ -205,6 +206,37 @@ class Store:
         mapping = repair_mappings(self.mapping(), self.stored(), reason, **options)
         self._commit(self.stored(), mapping, self.stored().limit(0).select(*SCHEMA), "Repaired", now_ms)
 
+    def integrity(self, tenant_id: str | None = None, namespace: str | None = None) -> DataFrame:
+        rows = self.stored().filter(admin_scope(tenant_id, namespace))
+        mapping = self.mapping()
+        if tenant_id is not None or namespace is not None:
+            parts = parse_idempotency(mapping).filter(admin_scope(tenant_id, namespace))
+            mapping = mapping.join(parts.select("scoped_key", "record_id"), ["scoped_key", "record_id"], "left_semi")
+        return integrity_summary(rows, mapping)
+
+    def run_maintenance(self, reason: str, now_ms: int, tenant_id: str | None = None, namespace: str | None = None, dry_run: bool = True, check: bool = True, repair: bool = True, compaction: bool = True, synthesis: bool = False) -> dict:
+        """Integrity, repair, compaction and synthesis (the last two for one tenant), integrity again."""
+        report: dict = {"dry_run": dry_run, "integrity_before": self.integrity(tenant_id, namespace).first().asDict() if check else None, "repair": None, "compaction": None, "synthesis": None}
+        if repair:
+            stale, missing = stale_mappings(self.mapping(), self.stored()).count(), missing_mappings(self.mapping(), self.stored()).count()
+            report["repair"] = {"removed": stale, "rebuilt": missing}
+            if not dry_run and stale + missing:
+                self.repair(reason, now_ms)
+        if compaction and tenant_id is not None:
+            report["compaction"] = {"superseded_records": compaction_plan(self.records(), tenant_id, namespace).filter("superseded").count()}
+            if not dry_run:
+                self.compact(tenant_id, now_ms, namespace=namespace)
+        if synthesis and tenant_id is not None:
+            report["synthesis"] = {"proposals": self.synthesize(tenant_id, reason, now_ms, dry_run=dry_run).count()}
+        report["integrity_after"] = self.integrity(tenant_id, namespace).first().asDict() if check else None
+        return report
+
+    def storage_bytes(self) -> int:
+        """Bytes of all files, old snapshots included."""
+        fs, jvm = self._fs()
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
     # -- time travel, export, import
 
     def as_of(self, at_ms: int) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 from larkspur import streaming
 from larkspur.functions import embedding, text
-from larkspur.operators import evaluate, filters, graph, lifecycle, maintenance, recall
+from larkspur.operators import evaluate, filters, graph, lifecycle, maintenance, recall, requests
 from larkspur.operators.filters import RecallFilters, Scope
 from larkspur.operators.scoring import Engine, Query
-from larkspur.sources.records import DDL, conform, episode, violations
+from larkspur.sources.records import DDL, conform, episode, from_json, read_corpus, to_json, violations
 from larkspur.sources.store import Conflict, Invalid, Store
 from pyspark.sql import functions as F
 
@@ -218,3 +218,33 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, streaming.tumbling_counts(rows, "ts", "10 minutes", "k").collect()))
+
+
+def test_json_round_trip_and_corpus(spark, tmp_path):
+    r = records(spark, [{"id": "x", "labels": ["l"]}], {"x": {"episode_id": "e", "causal_record_ids": ["y"]}})
+    back = r.select(from_json(to_json()).alias("r")).select("r.*")
+    assert back.first() == r.first()
+    (tmp_path / "c.json").write_text('{"records": [{"id": "x", "content": "storm runbook", "unknown": 1}, {"id": "y", "content": "other"}], "cases": [{"name": "c", "query_text": "storm", "relevant_record_ids": ["x"], "max_items": 5}]}')
+    rows, cases = read_corpus(spark, str(tmp_path / "c.json"))
+    rows = rows.withColumns({k: F.lit(v) for k, v in (("tenant_id", "t"), ("namespace", "n"), ("actor_id", "a"), ("quality_state", "Active"), ("source", "s"), ("updated_at_unix_ms", 0), ("importance_score", 0.1))})
+    judged = [(c.name, Query(c.query_text, SCOPE, NOW, max_items=c.max_items), c.relevant_record_ids) for c in cases.collect()]
+    row = evaluate.run_cases(rows, judged, 3).first()
+    assert (row.hit_at_k, row.mrr, row.ndcg_at_k) == (1.0, 1.0, 1.0)
+
+
+def test_limits_and_traces(spark):
+    limits = requests.Limits()
+    with pytest.raises(ValueError, match="max_items"):
+        limits.check(Query("q", SCOPE, NOW, max_items=65))
+    assert records(spark, [{"id": "x", "content": "y" * 40000}]).select(limits.violations()).first()[0] == ["content"]
+    traces = spark.createDataFrame([("a", None, "recall", "Ok", "t", "n", 5, 1.0), ("b", None, "recall", "Error", "t", "n", 6, 1.0)], requests.TRACES)
+    assert [r.trace_id for r in requests.list_traces(traces, tenant_id="t", before_ms=5).collect()] == ["a"]
+
+
+def test_maintenance_run(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "m"))
+    s.upsert(records(spark, [{"id": "a", "content": "same"}, {"id": "b", "content": "same"}]).withColumn("idempotency_key", F.col("id")), NOW)
+    dry = s.run_maintenance("why", NOW + 1, tenant_id="t")
+    assert dry["compaction"]["superseded_records"] == 1 and dry["integrity_before"] == dry["integrity_after"]
+    done = s.run_maintenance("why", NOW + 1, tenant_id="t", dry_run=False)
+    assert not done["integrity_before"]["healthy"] and done["integrity_after"]["healthy"] and s.storage_bytes() > 0
