@@ -43,9 +43,9 @@ from .components import components
 
 PERCENT, SHINGLE = 80, 5
 #: Shingles in a shard of the frequency table, about; sets in a shard of the set store.
-SHARD, SETS = 1 << 22, 1 << 14
+SHARD, SETS = 1 << 20, 1 << 14
 #: Bytes of text whose shingles a task counts together before it sends them.
-FLUSH = 32 << 20
+FLUSH = 24 << 20
 #: Rows of an index list that are handled together, and in a block of it.
 LIST, BLOCK = 4096, 64
 #: Groups of equal sets with more than 1/HEAVY of all rows are joined by broadcast.
