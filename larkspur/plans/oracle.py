@@ -194,7 +194,7 @@ ORACLE: dict[str, str] = {
     "filter_trust_kind": ids("trust_level IN ('Verified', 'Observed') AND kind IN ('Episodic', 'Fact') AND source = 'user'"),
     "filter_unresolved": ids("ep_state IN ('Open', 'Abandoned')"),
     "filter_lineage": ids("(id = 'conv-23-0' OR list_contains(lineage_ids, 'conv-23-0'))"),
-    "filter_relative_anchor": ids(f"last_active > {BASE + 3 * HOUR} AND last_active < {BASE + 43 * HOUR}"),
+    "filter_relative_anchor": ids(f"last_active > {BASE + 3 * HOUR} AND last_active < {BASE + 13 * HOUR}"),
     "filter_boundary_recurrence": f"WITH {CHAT} SELECT id FROM chat WHERE actor_id = 'u5' AND boundary IN ('handoff') AND rec_key = 'weekly' AND {SEEN}",
     "filter_conflict": f"WITH {CHAT} SELECT id FROM chat WHERE conf_state IN ('PotentialConflict', 'UnderReview', 'Resolved') AND {SEEN}",
     "filter_conflict_resolution": f"WITH {CHAT} SELECT id FROM chat WHERE conf_res IN ('Accepted') AND {SEEN}",

@@ -255,7 +255,7 @@ QUERIES = {
     "filter_scope": _ids(RecallFilters(), Scope("acme", "chat", "u3", conversation_id="c3")),
     "filter_time_range": _ids(RecallFilters(updated_from_ms=BASE_MS + 10 * HOUR_MS, updated_to_ms=BASE_MS + 50 * HOUR_MS, min_importance=0.4)),
     "filter_labels_all": _ids(RecallFilters(required_labels=("chat", "user"))), "filter_trust_kind": _ids(RecallFilters(trust_levels=("Verified", "Observed"), kinds=("Episodic", "Fact"), source="user")),
-    "filter_unresolved": _ids(RecallFilters(unresolved_only=True)), "filter_lineage": _ids(RecallFilters(lineage_record_id="conv-23-0")), "filter_relative_anchor": _ids(RecallFilters(after_record_id="conv-3-0", before_record_id="conv-43-0")),
+    "filter_unresolved": _ids(RecallFilters(unresolved_only=True)), "filter_lineage": _ids(RecallFilters(lineage_record_id="conv-23-0")), "filter_relative_anchor": _ids(RecallFilters(after_record_id="conv-3-0", before_record_id="conv-13-0")),
     "filter_boundary_recurrence": _ids(RecallFilters(boundary_labels=("handoff",), recurrence_key="weekly"), Scope("acme", "chat", "u5")), "filter_conflict": _ids(RecallFilters(conflict_states=("PotentialConflict", "UnderReview", "Resolved")), None),
     "filter_conflict_resolution": _ids(RecallFilters(conflict_resolutions=("Accepted",)), None), "filter_unresolved_conflicts": _ids(RecallFilters(unresolved_conflicts_only=True), None),
     "filter_historical_modes": _modes({"HistoricalOnly": RecallFilters(historical_mode="HistoricalOnly"), "IncludeHistorical": RecallFilters(historical_mode="IncludeHistorical")}),
