@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,18 +115,70 @@ def explain(records: DataFrame, q: Query, e: Engine = Engine()) -> DataFrame:
     return row.select("total_candidates_examined", F.array_compact(F.array(*map(F.lit, first), *more)).alias("selected_channels"), F.array(*map(F.lit, notes)).alias("policy_notes"))
 
 
+#: Queries of one batch whose terms are shipped to every task.
+SHIPPED_QUERIES = 10_000
+
+
 def recall_batch(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Many plain recalls in one job: queries (query_id, query_text, tenant_id, namespace); lexical and importance scores, top k of each.
 
-    Terms are exploded and joined with records of their namespace; a record's text is
-    lower-cased once. Queries are broadcast if they are few, else shuffled by scope.
+    Up to SHIPPED_QUERIES queries become one automaton of all their terms, which finds every term in one pass
+    over a text however many there are; each task keeps its own top k of a query, so what is shuffled is k rows a query and
+    task. More queries are joined with the records of their namespace instead.
     """
-    terms = queries.select("query_id", "tenant_id", "namespace", F.filter(text.tokens(text.ascii_lower(F.col("query_text"))), lambda t: t != "").alias("terms"))
-    if queries.count() <= 10_000:
-        terms = F.broadcast(terms)
+    terms = queries.select("query_id", "tenant_id", "namespace", text.tokens(text.ascii_lower(F.col("query_text"))).alias("terms"))
     body = records.select("id", "tenant_id", "namespace", "importance_score", text.haystack(F.col("content"), F.col("summary")).alias("hay"))
-    both = body.join(terms, ["tenant_id", "namespace"])
-    lexical = F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t)))
-    scored = both.select("query_id", "id", lexical.cast("double").alias("lexical"), "importance_score").filter("lexical > 0").withColumn("total", F.col("lexical") + F.col("importance_score"))
+    few = terms.limit(SHIPPED_QUERIES + 1).collect()
+    scored = _scored_by_automaton(body, few, k) if len(few) <= SHIPPED_QUERIES else _scored_by_join(body, terms)
     best = Window.partitionBy("query_id").orderBy(F.desc("total"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _scored_by_join(body: DataFrame, terms: DataFrame) -> DataFrame:
+    both = body.join(terms, ["tenant_id", "namespace"])
+    lexical = F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t)))
+    return both.select("query_id", "id", lexical.cast("double").alias("lexical"), "importance_score").filter("lexical > 0").withColumn("total", F.col("lexical") + F.col("importance_score"))
+
+
+def _scored_by_automaton(body: DataFrame, queries: list, k: int) -> DataFrame:
+    ship = body.sparkSession.sparkContext.broadcast([(q["query_id"], (q["tenant_id"], q["namespace"]), q["terms"]) for q in queries])
+    spaces = body.sparkSession.createDataFrame(sorted({(q["tenant_id"], q["namespace"]) for q in queries}), "tenant_id string, namespace string")
+    names = ["query_id", "id", "lexical", "importance_score", "total"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        asked = ship.value
+        automata: dict[tuple, tuple] = {}
+        for space in {s for _, s, _ in asked}:
+            uses: dict[str, list[int]] = {}
+            for i, (_, own, terms) in enumerate(asked):
+                for t in terms if own == space else ():
+                    uses.setdefault(t, []).append(i)
+            machine = ahocorasick.Automaton()
+            for n, t in enumerate(uses):
+                machine.add_word(t, n)
+            machine.make_automaton()
+            automata[space] = machine, [np.array(u) for u in uses.values()]
+        best: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, object)]  # query, lexical, importance, id
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for rid, tenant, space, importance, hay in zip(*(c.to_pylist() for c in batch.columns)):
+                machine, uses = automata.get((tenant, space), (None, None))
+                found = {n for _, n in machine.iter(hay)} if uses else ()
+                if not found:
+                    continue
+                query, count = np.unique(np.concatenate([uses[n] for n in found]), return_counts=True)
+                for column, value in zip(rows, (query, count.astype(float), np.full(len(query), importance), np.full(len(query), rid, object))):
+                    column.append(value)
+            if rows[0]:
+                best = [np.concatenate([old, *new]) for old, new in zip(best, rows)]
+                order = np.lexsort((best[3].astype(str), -(best[1] + best[2]), best[0]))
+                query = best[0][order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                best = [c[order][place < k] for c in best]
+        ids = pa.array([asked[i][0] for i in best[0].tolist()], pa.string())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(best[3].tolist(), pa.string()), pa.array(best[1]), pa.array(best[2]), pa.array(best[1] + best[2])], names=names)
+
+    inside = body.join(F.broadcast(spaces), ["tenant_id", "namespace"], "left_semi").select("id", "tenant_id", "namespace", F.coalesce("importance_score", F.lit(0.0)).alias("importance_score"), "hay")
+    return inside.mapInArrow(run, "query_id string, id string, lexical double, importance_score double, total double")
