@@ -40,8 +40,8 @@ from .common import fresh, table, text_of
 from .kneser_ney import cuts_of, streamed
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text a task works on before it sends; phrases in a shard, about.
-FLUSH, SHARD = 24 << 20, 1 << 20
+#: Bytes of text a task works on before it sends; phrases in a shard, about; bytes that are parsed at once.
+FLUSH, SHARD, PARSED = 10 << 20, 1 << 19, 1 << 20
 #: Phrases of one trigger that are gathered; bytes of dictionary whose suffixes are sorted together.
 HOT, SORTED = 4096, 1 << 21
 #: Low bits of a trigger's rank that hold its place, so that the leftmost of equals wins.
@@ -76,7 +76,7 @@ class Parse:
             self.last = stop
             at = self.first + ((place[self.first] - self.first) & ((1 << PLACE) - 1))
             self.doc = doc[self.first]
-            self.trigger = rank[at]
+            self.trigger = mix(rank[at] + ODD[7])  # least hashes are small; shards go by evenly spread bits
             text = (self.prefix[self.last + length] - self.prefix[self.first]) * powers(n + 1)[1][self.first]
             shape = (at - self.first).astype(np.uint64) * ODD[5] + (self.last - self.first).astype(np.uint64) * ODD[6]
             self.phrase = in_shard(mix(text + mix(shape)), self.trigger, bits)
@@ -152,7 +152,7 @@ def find_phrases(docs: DataFrame, uri: str, bits: int) -> None:
 
         for batch in batches:
             ids = ids_of(batch.column(0))
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1), PARSED):
                 p = Parse(data, offsets, bits)
                 parts.append((p.phrase, p.trigger, ids[lo:hi][p.doc], p.at))
                 held += len(data)
@@ -178,7 +178,7 @@ def find_phrases(docs: DataFrame, uri: str, bits: int) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
     schema = "shard int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
-    sent = docs.mapInArrow(send, schema).repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    sent = docs.mapInArrow(send, schema).repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
     sent.mapInArrow(gather, "shard int").write.format("noop").mode("overwrite").save()
 
 
@@ -230,7 +230,7 @@ def find_windows(docs: DataFrame, uri: str, bits: int, hot_limit: int = HOT) ->
 
         for batch in batches:
             ids = ids_of(batch.column(0))
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1), PARSED):
                 p = Parse(data, offsets, bits)
                 _, warm, hot = found.classify(p, ids[lo:hi])
                 mine = ids[lo:hi][p.doc]
@@ -266,7 +266,7 @@ def find_windows(docs: DataFrame, uri: str, bits: int, hot_limit: int = HOT) ->
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
     schema = "shard int, hot boolean, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
-    sent = docs.mapInArrow(send, schema).repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    sent = docs.mapInArrow(send, schema).repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
     sent.mapInArrow(gather, "shard int").write.format("noop").mode("overwrite").save()
 
 
@@ -326,7 +326,7 @@ def remove(docs: DataFrame, uri: str, bits: int, with_kept: bool = False, hot_li
             ids, n = ids_of(batch.column(0)), len(batch)
             size, gone, spans, digest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
             cut, kept = [[]] * n, [b""] * n
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1), PARSED):
                 p = Parse(data, offsets, bits)
                 later, warm, hot = found.classify(p, ids[lo:hi])
                 cover = np.zeros(len(data) + 1, np.int32)
