@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame; all but the last return the columns of docs. ``run`` writes each stage's
 result to the shared folder and reads it again, so a lost executor costs one stage at most.
+Stages that drop rows join texts with the ids that stay by sort and merge at every size.
 
 1. language_id: a byte-level recurrent network, trained on the documents whose language is
    given, labels each text; texts that it rejects (``und``: null or without a letter) go, and
@@ -42,12 +43,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = durable(jaccard.jaccard_components(docs), "groups")
     gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs, mixing.WEIGHTS, SHARE_PERCENT, epochs=1).select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
+    return docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

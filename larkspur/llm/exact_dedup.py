@@ -81,10 +81,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
     again = durable(again.join(stay, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi"), "again")
     mine = docs[id_col]
     if again.isEmpty():
-        return docs.join(stay, mine.eqNullSafe(F.col("_keep")), "left_semi")
+        return docs.join(stay.hint("merge"), mine.eqNullSafe(F.col("_keep")), "left_semi")  # one way at every size
     # an id that several rows bear: one row of each text stays
     single = stay.join(again, F.col("_keep").eqNullSafe(F.col("_id")), "left_anti")
-    once = docs.join(single, mine.eqNullSafe(F.col("_keep")), "left_semi")
+    once = docs.join(single.hint("merge"), mine.eqNullSafe(F.col("_keep")), "left_semi")
     t = text_of() if text is None else text
     several = docs.withColumn("_digest", F.unhex(F.sha2(t.cast("binary"), 256)))
     several = several.join(again, mine.eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col, "_digest"])
