@@ -180,6 +180,10 @@ ORACLE: dict[str, str] = {
     "recall_batched_benchmark": f"""WITH {DOCS}, q AS (SELECT item_id, list_filter(regexp_split_to_array({low('text')}, '\\s+'), lambda x: x <> '')[1:12] AS terms FROM benchmark),
         s AS (SELECT item_id AS query_id, id, len(list_filter(terms, lambda t: contains({low('content')} || ' ', t))) AS lexical, importance FROM docs, q WHERE namespace = 'en')
         SELECT CAST(query_id AS VARCHAR) AS query_id, id, round(CAST(lexical + importance AS DOUBLE), 6) AS total, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical + importance DESC, id) AS INTEGER) AS rank FROM s WHERE lexical > 0 QUALIFY rank <= 5""",
+    "recall_batched_whole_benchmark": f"""WITH {DOCS}, q AS (SELECT item_id, unnest(list_filter(regexp_split_to_array({low('text')}, '\\s+'), lambda x: x <> '')) AS term FROM benchmark),
+        h AS MATERIALIZED (SELECT id, {low('content')} || ' ' AS hay, importance FROM docs WHERE namespace = 'en'), w AS MATERIALIZED (SELECT DISTINCT term FROM q),
+        s AS (SELECT item_id AS query_id, id, count(*) AS lexical, any_value(importance) AS importance FROM (SELECT id, importance, term FROM h JOIN w ON contains(hay, term)) JOIN q USING (term) GROUP BY item_id, id)
+        SELECT CAST(query_id AS VARCHAR) AS query_id, id, round(CAST(lexical + importance AS DOUBLE), 6) AS total, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical + importance DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
     "recall_token_budget": f"""WITH RECURSIVE {CHAT}, {scored(TERMS)}, r AS (SELECT id, row_number() OVER (ORDER BY round(CAST(total AS DOUBLE), 6) DESC, id) AS k, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n FROM scored),
         walk AS (SELECT 0 AS k, CAST('' AS VARCHAR) AS id, CAST(400 AS BIGINT) AS rest, CAST(0 AS BIGINT) AS taken, false AS took
           UNION ALL SELECT r.k, r.id, CASE WHEN w.taken < 8 AND (w.taken = 0 OR r.n <= w.rest) THEN greatest(w.rest - r.n, 0) ELSE w.rest END, CASE WHEN w.taken < 8 AND (w.taken = 0 OR r.n <= w.rest) THEN w.taken + 1 ELSE w.taken END, w.taken < 8 AND (w.taken = 0 OR r.n <= w.rest) FROM walk w JOIN r ON r.k = w.k + 1)

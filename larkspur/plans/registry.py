@@ -68,10 +68,16 @@ def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_records(spark, sf_dir).select("id", F.explode(each).alias("x")).select("id", "x.profile", "x.delta")
 
 
-def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    queries = queries.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(F.array_remove(F.split("text", r"\s+"), ""), 1, 12), " ").alias("query_text"), F.lit("acme").alias("tenant_id"), F.lit("en").alias("namespace"))
-    return recall.recall_batch(document_records(spark, sf_dir), queries, 5).select("query_id", "id", *r6("total"), "rank")
+def _batched(words: int | None = None):
+    """Each benchmark text as a query: the whole of it, or its first words."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+        asked = F.col("text") if words is None else F.array_join(F.slice(F.array_remove(F.split("text", r"\s+"), ""), 1, words), " ")
+        queries = queries.select(F.col("item_id").cast("string").alias("query_id"), asked.alias("query_text"), F.lit("acme").alias("tenant_id"), F.lit("en").alias("namespace"))
+        return recall.recall_batch(document_records(spark, sf_dir), queries, 5).select("query_id", "id", *r6("total"), "rank")
+
+    return run
 
 
 def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +257,7 @@ QUERIES = {
     "score_curated_breakdown": _parts(Engine(scorer="Curated"), ["lexical", "temporal", "metadata", "episodic", "salience", "curation", "policy", "total"]),
     "score_temporal_context": _parts(Engine(), ["temporal", "total"], "the timeline recurring handoff"),
     "score_salience": lambda s, d: chat_records(s, d).select("id", F.round(scoring.salience(), 6).alias("salience")),
-    "score_provenance_5_profiles": _provenance, "recall_batched_benchmark": _batched, "recall_token_budget": _budget, "recall_trace": _trace, "recall_explanation": _explain, "recall_semantic": _semantic, "recall_continuity_expansion": _continuity,
+    "score_provenance_5_profiles": _provenance, "recall_batched_benchmark": _batched(12), "recall_batched_whole_benchmark": _batched(), "recall_token_budget": _budget, "recall_trace": _trace, "recall_explanation": _explain, "recall_semantic": _semantic, "recall_continuity_expansion": _continuity,
     "filter_scope": _ids(RecallFilters(), Scope("acme", "chat", "u3", conversation_id="c3")),
     "filter_time_range": _ids(RecallFilters(updated_from_ms=BASE_MS + 10 * HOUR_MS, updated_to_ms=BASE_MS + 50 * HOUR_MS, min_importance=0.4)),
     "filter_labels_all": _ids(RecallFilters(required_labels=("chat", "user"))), "filter_trust_kind": _ids(RecallFilters(trust_levels=("Verified", "Observed"), kinds=("Episodic", "Fact"), source="user")),
