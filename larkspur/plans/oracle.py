@@ -241,6 +241,7 @@ ORACLE: dict[str, str] = {
     "event_chains": f"WITH {EVENTS} SELECT id, ep_state, prev, next, round(importance, 6) AS importance_score FROM evts",
     "events_unresolved": f"WITH {EVENTS} SELECT id FROM evts WHERE ep_state IN ('Open', 'Abandoned') AND importance >= 0.1",
     "text_functions": f"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS approximate_tokens, strlen(coalesce(text, '')) AS bytes, CASE WHEN length(t) > 160 THEN left(t, 160) || '...' ELSE t END AS snippet, {low('left(t, 40)')} AS lowered FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents)",
+    "text_functions_whole": f"SELECT doc_id, {low('t')} AS lowered FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents)",
     "validation_failures": "SELECT doc_id % 5 AS kind, count(*) AS n FROM documents GROUP BY 1",
     "lifecycle_archive": f"WITH {CHAT} SELECT id, 'Archived' AS quality_state, CASE WHEN historical = 'Current' THEN 'Historical' ELSE historical END AS historical_state, (quality_state <> 'Archived' OR historical = 'Current') AS changed FROM chat",
     "tumbling_counts": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",

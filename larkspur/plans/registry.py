@@ -206,6 +206,11 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.approximate_tokens(t, F.lit(None)).alias("approximate_tokens"), F.octet_length(t).cast("long").alias("bytes"), text.snippet(t).alias("snippet"), text.ascii_lower(F.substring(text.trimmed(t), 1, 40)).alias("lowered"))
 
 
+def _whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.ascii_lower(text.trimmed(t)).alias("lowered"))
+
+
 def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents broken in five ways by their id, counted by the rule that they break first."""
     kind = F.substring("id", 5, 20).cast("long") % 5
@@ -278,7 +283,7 @@ QUERIES = {
     "latency_summary": lambda s, d: aggregates.latency_summary(_events(s, d), "value", "event_type").withColumn("mean", F.round("mean", 6)),
     "event_chains": lambda s, d: event_records(s, d).select("id", F.col("episode.continuity_state").alias("ep_state"), F.col("episode.previous_record_id").alias("prev"), F.col("episode.next_record_id").alias("next"), *r6("importance_score")),
     "events_unresolved": lambda s, d: event_records(s, d).filter(filters.passes(RecallFilters(unresolved_only=True, min_importance=0.1))).select("id"),
-    "text_functions": _text, "validation_failures": _validation, "lifecycle_archive": lambda s, d: lifecycle.archive(chat_records(s, d), NOW_MS).select("id", F.lit("Archived").alias("quality_state"), "historical_state", "changed"),
+    "text_functions": _text, "text_functions_whole": _whole_text, "validation_failures": _validation, "lifecycle_archive": lambda s, d: lifecycle.archive(chat_records(s, d), NOW_MS).select("id", F.lit("Archived").alias("quality_state"), "historical_state", "changed"),
     "tumbling_counts": lambda s, d: streaming.tumbling_counts(_events(s, d), "ts", "1 hour", "event_type").withColumn("window_start", _minute("window_start")),
     "sliding_counts": lambda s, d: streaming.sliding_counts(_events(s, d), "ts", "2 hours", "1 hour", "event_type").withColumn("window_start", _minute("window_start")),
     "sessionized_events": lambda s, d: streaming.sessions(_events(s, d), "ts", "30 minutes", "user_id").withColumn("session_start", _minute("session_start", "yyyy-MM-dd HH:mm:ss")),

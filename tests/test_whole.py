@@ -22,3 +22,8 @@ def whole(spark, tmp_path_factory):
 def test_batched_recall_asks_for_every_word(spark, whole):
     rows = queries()["recall_batched_whole_benchmark"](spark, whole).collect()
     assert {r.id: int(r.total) for r in rows} == {"doc-3": 23, "doc-1": 3}
+
+
+def test_lowered_texts_are_whole(spark, whole):
+    rows = {r.doc_id: r.lowered for r in queries()["text_functions_whole"](spark, whole).collect()}
+    assert rows == {1: LATER, 2: "nothing of it", 3: f"{LONG} Àbc", 4: ""}
