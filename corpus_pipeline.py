@@ -7,7 +7,8 @@ Stages that drop rows join texts with the ids that stay by sort and merge at eve
 
 1. language_id: a byte-level recurrent network, trained on the documents whose language is
    given, labels each text; texts that it rejects (``und``: null or without a letter) go, and
-   lang is what it says.
+   lang is what it says. Where no text with a letter has a language there is no network: the same
+   texts go, and lang stays as it is.
 2. exact_dedup: of equal texts the one with the largest doc_id stays.
 3. jaccard_dedup: of documents that links of at least 80 in 100 five-word shingles connect, the one with the
    least doc_id stays; documents without shingles stay.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup as exact
 from larkspur.llm import jaccard, langid, mixing, packing
-from larkspur.llm.common import durable
+from larkspur.llm.common import durable, text_of
 
 #: Share of the remaining tokens that the mix keeps.
 SHARE_PERCENT = 90
@@ -31,6 +32,8 @@ SHARE_PERCENT = 90
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, weights = langid.train(docs.select("doc_id", "text", "lang"))
+    if weights is None:
+        return docs.filter(text_of().rlike(r"\p{L}"))
     kept = tuple(docs.columns)
     labelled = langid.predict(docs, langs, weights, kept, ("_lang_pred", "_lang_score")).filter("_lang_pred <> 'und'")
     return labelled.withColumn("lang", F.col("_lang_pred")).select(*kept)
