@@ -243,6 +243,9 @@ ORACLE: dict[str, str] = {
     "text_functions": f"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS approximate_tokens, strlen(coalesce(text, '')) AS bytes, CASE WHEN length(t) > 160 THEN left(t, 160) || '...' ELSE t END AS snippet, {low('left(t, 40)')} AS lowered FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents)",
     "text_functions_whole": f"SELECT doc_id, {low('t')} AS lowered FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents)",
     "validation_failures": "SELECT doc_id % 5 AS kind, count(*) AS n FROM documents GROUP BY 1",
+    "validation_own_failures": f"""WITH {DOCS}, b AS (SELECT unnest([CASE WHEN trim(namespace, E' \\t\\n\\r\\x0b\\x0c') = '' THEN 'namespace' END, CASE WHEN trim(actor_id, E' \\t\\n\\r\\x0b\\x0c') = '' THEN 'actor_id' END,
+          CASE WHEN trim(content, E' \\t\\n\\r\\x0b\\x0c') = '' THEN 'content' END, CASE WHEN importance IS NULL OR importance NOT BETWEEN 0 AND 1 THEN 'importance_score' END]) AS rule FROM docs)
+        SELECT rule, count(*) AS n FROM b WHERE rule IS NOT NULL GROUP BY rule""",
     "lifecycle_archive": f"WITH {CHAT} SELECT id, 'Archived' AS quality_state, CASE WHEN historical = 'Current' THEN 'Historical' ELSE historical END AS historical_state, (quality_state <> 'Archived' OR historical = 'Current') AS changed FROM chat",
     "tumbling_counts": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "sliding_counts": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL",

@@ -220,6 +220,12 @@ def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy(number.cast("long").alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _own_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by every rule that their own columns break."""
+    broken = document_records(spark, sf_dir).select(F.explode(violations()).alias("rule"))
+    return broken.groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
 
@@ -283,7 +289,7 @@ QUERIES = {
     "latency_summary": lambda s, d: aggregates.latency_summary(_events(s, d), "value", "event_type").withColumn("mean", F.round("mean", 6)),
     "event_chains": lambda s, d: event_records(s, d).select("id", F.col("episode.continuity_state").alias("ep_state"), F.col("episode.previous_record_id").alias("prev"), F.col("episode.next_record_id").alias("next"), *r6("importance_score")),
     "events_unresolved": lambda s, d: event_records(s, d).filter(filters.passes(RecallFilters(unresolved_only=True, min_importance=0.1))).select("id"),
-    "text_functions": _text, "text_functions_whole": _whole_text, "validation_failures": _validation, "lifecycle_archive": lambda s, d: lifecycle.archive(chat_records(s, d), NOW_MS).select("id", F.lit("Archived").alias("quality_state"), "historical_state", "changed"),
+    "text_functions": _text, "text_functions_whole": _whole_text, "validation_failures": _validation, "validation_own_failures": _own_validation, "lifecycle_archive": lambda s, d: lifecycle.archive(chat_records(s, d), NOW_MS).select("id", F.lit("Archived").alias("quality_state"), "historical_state", "changed"),
     "tumbling_counts": lambda s, d: streaming.tumbling_counts(_events(s, d), "ts", "1 hour", "event_type").withColumn("window_start", _minute("window_start")),
     "sliding_counts": lambda s, d: streaming.sliding_counts(_events(s, d), "ts", "2 hours", "1 hour", "event_type").withColumn("window_start", _minute("window_start")),
     "sessionized_events": lambda s, d: streaming.sessions(_events(s, d), "ts", "30 minutes", "user_id").withColumn("session_start", _minute("session_start", "yyyy-MM-dd HH:mm:ss")),

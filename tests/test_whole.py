@@ -27,3 +27,7 @@ def test_batched_recall_asks_for_every_word(spark, whole):
 def test_lowered_texts_are_whole(spark, whole):
     rows = {r.doc_id: r.lowered for r in queries()["text_functions_whole"](spark, whole).collect()}
     assert rows == {1: LATER, 2: "nothing of it", 3: f"{LONG} Àbc", 4: ""}
+
+
+def test_own_texts_are_validated(spark, whole):
+    assert [tuple(r) for r in queries()["validation_own_failures"](spark, whole).collect()] == [("content", 1)]
