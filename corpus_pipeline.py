@@ -13,7 +13,8 @@ Stages that drop rows join texts with the ids that stay by sort and merge at eve
 3. jaccard_dedup: of documents that links of at least 80 in 100 five-word shingles connect, the one with the
    least doc_id stays; documents without shingles stay.
 4. mix_sources: SHARE_PERCENT of all tokens are taken, by the weights of domains, languages and
-   sources, each document once at most. What a source lacks its siblings give.
+   sources, each document once at most. What a source lacks its siblings give. The document at the end of
+   a leaf's budget stays whole: take_tokens is not applied to texts.
 5. pack: sequences of at most 4096 tokens.
 """
 
