@@ -21,6 +21,8 @@ BASE_INV = U(pow(int(BASE), -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_LOWER = BYTE[LOWER]
+#: A second table, for hashes that have to be told apart by 128 bits.
+BYTE_2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -71,6 +73,17 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def sections(column: pa.Array, limit: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each piece, its place in its row, bytes, offsets from 0); texts above limit come in several pieces that overlap."""
+    for lo, hi, data, offsets in chunks(column, limit):
+        if len(data) <= limit + overlap:
+            yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), data, offsets
+            continue
+        for at in range(0, len(data) - overlap, limit):
+            part = data[at : at + limit + overlap]
+            yield np.array([lo]), np.array([at]), part, np.array([0, len(part)])
+
+
 def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
     """n + 1 prefix sums whose differences are polynomial hashes of substrings."""
     out = np.zeros(len(data) + 1, np.uint64)
@@ -89,6 +102,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if n > 2 * CHUNK and len(offsets) == 2:  # one long text: section by section, cut behind white space
+        cuts = [0]
+        while n - cuts[-1] > CHUNK:
+            at = cuts[-1] + CHUNK
+            while at < n and not len(space := np.flatnonzero(SPACE[data[at : at + CHUNK]])):
+                at += CHUNK
+            cuts.append(min(n, at + int(space[0]) + 1) if at < n else n)
+        hashes = [words(data[a:b], np.array([0, b - a]))[0] if b - a <= 2 * CHUNK else _words(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, [*cuts[1:], n]) if a < b]
+        return np.concatenate(hashes), np.array([0, sum(map(len, hashes))])
+    return _words(data, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
     solid = ~SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]

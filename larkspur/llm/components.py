@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,12 +17,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = durable(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
     labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
+    last = labels
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", "label", F.least("label", "theirs").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("next"))
         new = lower.join(jump, "low", "left").select("id", F.least("low", F.coalesce("next", "low")).alias("label"), (F.least("low", F.coalesce("next", "low")) != F.col("label")).alias("moved"))
         new = durable(new, "labels")
-        labels = new.select("id", "label")
+        discard(links.sparkSession, last)
+        last, labels = new, new.select("id", "label")
         if new.filter("moved").isEmpty():
+            discard(links.sparkSession, both)
             return labels.withColumnRenamed("label", "component")

@@ -1,30 +1,34 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set is its distinct five-word shingles, and two documents link when
-100 * |intersection| >= PERCENT * |union|. Equal sets are joined first, by a digest of the set; each
-distinct set is then one representative. Shingles are ranked by how many distinct sets
+100 * |intersection| >= PERCENT * |union|. Equal sets are one, told by a 128-bit digest of the set, whatever
+ids and texts bear it. Shingles are ranked by how many distinct sets
 hold them (counted over the whole corpus), rarest first, and only a set's prefix of
 n - ceil(t n) + 1 shingles can start a link: a set whose prefix no other set shares has
 none, and most sets end there.
 
 The others meet in index lists, one for each prefix shingle:
 
-* First, every set of a list is compared with the list's pivot, its most central set,
-  and with nothing else, so a list of n sets costs n pairs.
+* First, every set is compared with one pivot, the central set of most of its lists, so n sets cost n pairs. The
+  answer is kept as the overlap and the two differences, x - p and p - x.
 * Then only sets of one list that those links leave in different components are looked
-  at. A list is cut into blocks by set size, each with its least position and size;
+  at. A list is cut into parts and blocks by set size, each block with its least position and size;
   pairs of blocks which by position and size can't reach the threshold, or that lie in
-  one component, are skipped as a whole. For the pairs left, the overlap with a pivot
-  that both know bounds their own: |x∩y| lies between o(x)+o(y)-|p| and
-  min(o(x),o(y)) + min(|x|-o(x),|y|-o(y)), so many answers follow from the answers of the
-  similar set and only the rest is compared.
+  one component, are skipped as a whole. For the pairs left, two bounds follow without reading a set: from the
+  answers of a pivot that both know, |x∩y| lies between o(x)+o(y)-|p| and min(o(x),o(y)) + min(|x|-o(x),|y|-o(y)); and from
+  BITMAP parity bits of each set, 2|x∩y| <= |x|+|y|-hamming.
+* What the bounds leave open is derived incrementally from the pivot's answers where both know the same one,
+  |x∩y| = |p| - |p-x| - |p-y| + |(p-x)∩(p-y)| + |(x-p)∩(y-p)|, and compared as whole sets otherwise.
+* That is done in rounds: in the first, a list gives at most LIMIT pairs for each two components, those with
+  the highest bounds, as one link makes the others needless; the last round takes all that are still in different ones.
 
 Every link between sets is either found or joins sets that are connected already, so
-components are exact. Overlaps are counted on sets that workers map into memory.
+components are exact. Nothing grows with the square of a list but the pairs that pass all bounds and link nothing.
 
 Cases: null text is empty; a document without words has an empty set and links with
-nothing; fewer words than five are one shingle; repeated rows share their component; a
-null id gets a null component; an empty table gives an empty result.
+nothing; fewer words than five are one shingle; rows that share an id, with one text or several, each get the component of their own text; a
+null id gets a null component and links with nothing; long texts are hashed in sections; extra columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,20 +42,21 @@ from pyspark.sql import functions as F
 
 from . import hashstore
 from .bytesops import ODD, U, chunks, distinct_runs, mix, words
-from .common import durable, fresh, table, text_of
+from .common import discard, durable, fresh, table, text_of
 from .components import components
+from .hashstore import by_shard, cuts_of
 
 PERCENT, SHINGLE = 80, 5
-#: Shingles in a shard of the frequency table, about; sets in a shard of the set store.
-SHARD, SETS = 1 << 20, 1 << 14
+#: Shingles in a shard of the frequency table, about.
+SHARD = 1 << 20
 #: Bytes of text whose shingles a task counts together before it sends them.
 FLUSH = 24 << 20
-#: Rows of an index list that are handled together, and in a block of it.
-LIST, BLOCK = 4096, 64
-#: Groups of equal sets with more than 1/HEAVY of all rows are joined by broadcast.
+#: Rows of an index list that are handled together, and in a block of it; pairs of two components in a first round.
+LIST, BLOCK, LIMIT = 1000, 50, 16
+#: Groups of equal sets, and lists, with more than 1/HEAVY of all rows are joined by broadcast; there are fewer than HEAVY of them.
 HEAVY = 2000
-#: Bytes of a shingle hash that are sent besides its shard's bits.
-SENT = 5
+#: Bytes of a shingle hash that are sent besides the first bits, which its range gives; parity bits of a set.
+SENT, BITMAP = 6, 256
 
 
 def need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -88,29 +93,71 @@ def read_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
 
-def _pack(low: np.ndarray) -> bytes:
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
+def short_key(key: np.ndarray, fan: int) -> np.ndarray:
+    """The first fan bits and SENT bytes after them, in place; the rest of the hash is cleared."""
+    clear = U(64 - fan - 8 * SENT)
+    return key >> clear << clear
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // SENT, 8), np.uint8)
-    out[:, :SENT] = np.frombuffer(raw, np.uint8).reshape(-1, SENT)
-    return out.view("<u8").ravel()
+def _pack(key: np.ndarray, fan: int) -> bytes:
+    low = (key >> U(64 - fan - 8 * SENT)).astype("<u8")
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
 
 
-def short_key(key: np.ndarray, bits: int) -> np.ndarray:
-    """The shard's bits and SENT bytes after them, in place; the rest of the hash is cleared."""
-    clear = 64 - bits - 8 * SENT
-    return key >> U(clear) << U(clear)
+def _unpack(raw: bytes, fan: int) -> np.ndarray:
+    """Keys without their first fan bits."""
+    out = np.zeros((len(raw) // SENT, 8), np.uint8)
+    out[:, :SENT] = np.frombuffer(raw, np.uint8).reshape(-1, SENT)
+    return out.view("<u8").ravel() << U(64 - fan - 8 * SENT)
+
+
+def unseen(seen: set, names: list, most: int = 1 << 20) -> np.ndarray:
+    """Which names a task meets for the first time; what it remembers is bounded, so some may come again."""
+    out = np.zeros(len(names), bool)
+    for i, h in enumerate(names):
+        if h not in seen:
+            out[i] = True
+            seen.add(h)
+    if len(seen) > most:
+        seen.clear()
+    return out
 
 
-def count_shared(docs: DataFrame, uri: str, bits: int, size: int) -> None:
+def count_shared(docs: DataFrame, uri: str, bits: int, size: int, fan: int = hashstore.FAN) -> None:
     """Write the shingles that at least two distinct sets hold, with about how many, as shards to uri.
 
     A shingle is told by its short key here: one taken for another only makes a set a
     candidate that is compared and found unlike.
     """
-    shards, clear = 1 << bits, U(64 - bits - 8 * SENT)
+    names = ["one", "owners", "runs", "many", "counts"]
+
+    def block(done: int, to: int, key: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[list[bytes]]:
+        """Shingles of one set (sorted by it) and of several, by ranges; own is of those with n = 1."""
+        columns: list[list[bytes]] = [[] for _ in names]
+        for a, b in cuts_of(key << U(done), to):
+            one = n[a:b] == 1
+            by = np.argsort(own[a:b][one], kind="stable")
+            owners, runs = np.unique(own[a:b][one], return_counts=True)
+            for column, value in zip(columns, (_pack(key[a:b][one][by], fan), owners.tobytes(), runs.astype("<u4").tobytes(), _pack(key[a:b][~one], fan), n[a:b][~one].astype("<u8").tobytes())):
+                column.append(value)
+        return columns
+
+    def merged(columns: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Keys, owners and counts (1: one owner) of several blocks."""
+        key, own, n = [], [], []
+        for one, owners, runs, many, counts in zip(*columns):
+            own.append(np.repeat(np.frombuffer(owners, np.uint64), np.frombuffer(runs, "<u4")))
+            n += [np.ones(len(own[-1]), np.int64), np.frombuffer(counts, "<i8")]
+            own.append(np.zeros(len(n[-1]), np.uint64))
+            key += [_unpack(one, fan), _unpack(many, fan)]
+        key, own, n = np.concatenate(key), np.concatenate(own), np.concatenate(n)
+        order = np.argsort(key, kind="stable")
+        key, own, n = key[order], own[order], n[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        if not len(key):
+            return key, own, n
+        low, high, most, total = (f.reduceat(x, first) for f, x in ((np.minimum, own), (np.maximum, own), (np.maximum, n), (np.add, n)))
+        return key[first], low, np.where((low == high) & (most == 1), 1, total)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -121,33 +168,15 @@ def count_shared(docs: DataFrame, uri: str, bits: int, size: int) -> None:
             order = np.argsort(key, kind="stable")
             key, own = key[order], own[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-            count = np.diff(np.append(first, len(key)))
-            key, own = key[first], own[first]
-            cuts = np.searchsorted(key, np.arange(1, shards, dtype=np.uint64) << U(64 - bits)) if bits else np.empty(0, np.int64)
-            rows = [], [], [], [], [], []
-            for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(key)])):
-                low, n, o = (key[a:b] >> clear) & U((1 << 8 * SENT) - 1), count[a:b], own[a:b]
-                one = n == 1
-                by = np.argsort(o[one], kind="stable")
-                names, runs = np.unique(o[one], return_counts=True)
-                for column, value in zip(rows, (k, _pack(low[one][by]), names.tobytes(), runs.astype(np.uint32).tobytes(), _pack(low[~one]), n[~one].astype(np.uint32).tobytes())):
-                    column.append(value)
-            kinds = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["shard", "one", "owners", "runs", "many", "counts"])
+            columns = block(0, fan, key[first], own[first], np.diff(np.append(first, len(key))))
+            return pa.RecordBatch.from_arrays([pa.array(range(1 << fan), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", *names])
 
         for batch in batches:
             for _, _, key, cut in shingle_sets(batch.column(0), size):
                 h1 = set_hashes(key, cut)[0]
-                fresh_sets = np.zeros(len(h1), bool)
-                for i, h in enumerate(h1.tolist()):
-                    if h not in seen:
-                        fresh_sets[i] = True
-                        seen.add(h)
-                if len(seen) > 1 << 20:
-                    seen.clear()
                 rows = np.repeat(np.arange(len(h1)), np.diff(cut))
-                take = fresh_sets[rows]
-                keys.append(short_key(key[take], bits))
+                take = unseen(seen, h1.tolist())[rows]
+                keys.append(short_key(key[take], fan))
                 owners.append(h1[rows[take]])
                 held += 20 * len(keys[-1])
                 if held > FLUSH:
@@ -157,132 +186,97 @@ def count_shared(docs: DataFrame, uri: str, bits: int, size: int) -> None:
             yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, parts, now = [], [], None
+        done = []
+        for shard, rows in by_shard(batches, len(names)):
+            key, _, n = merged(list(zip(*rows)))
+            hashstore.write(uri, f"{shard}", key=key[n > 1] | (U(shard >> (bits - fan)) << U(64 - fan)), df=np.minimum(n[n > 1], 2**32 - 1).astype(np.uint32))
+            done.append(shard)
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
-        def close() -> None:
-            key = np.concatenate([p[0] for p in parts])
-            own = np.concatenate([p[1] for p in parts])
-            n = np.concatenate([p[2] for p in parts])
-            order = np.argsort(key, kind="stable")
-            key, own, n = key[order], own[order], n[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-            low, high, count = (f.reduceat(x, first) if len(key) else x for f, x in ((np.minimum, own), (np.maximum, own), (np.add, n)))
-            many = (low != high) | (np.maximum.reduceat(n, first) > 1) if len(key) else np.empty(0, bool)
-            hashstore.write(uri, f"key-{now}", (key[first][many] << clear) | (U(now) << U(64 - bits) if bits else U(0)))
-            hashstore.write(uri, f"df-{now}", np.minimum(count[many], 2**32 - 1).astype(np.uint32))
-            done.append(now)
+    sent = docs.select("text").mapInArrow(send, "shard int, " + ", ".join(f"{n} binary" for n in names))
+    dealt = hashstore.dealt(sent, bits, names, lambda c, done, more: block(done, more, *merged(c)), FLUSH, fan)
+    dealt.mapInArrow(gather, "shard int").write.format("noop").mode("overwrite").save()
 
-        for batch in batches:
-            for shard, one, owners, runs, many, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != now:
-                    if now is not None:
-                        close()
-                    parts, now = [], shard
-                own = np.repeat(np.frombuffer(owners, np.uint64), np.frombuffer(runs, np.uint32))
-                n = np.frombuffer(counts, np.uint32).astype(np.int64)
-                parts += [(_unpack(one), own, np.ones(len(own), np.int64)), (_unpack(many), np.zeros(len(n), np.uint64), n)]
-        if now is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
-    schema = "shard int, one binary, owners binary, runs binary, many binary, counts binary"
-    sent = docs.select("text").mapInArrow(send, schema)
-    sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(gather, "shard int").write.format("noop").mode("overwrite").save()
+def parity(key: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """BITMAP bits of each set, each the parity of the shingles that fall on it."""
+    sets = len(cut) - 1
+    slot = np.repeat(np.arange(sets), np.diff(cut)) * BITMAP + (mix(key ^ ODD[14]) & U(BITMAP - 1)).astype(np.int64)
+    odd = np.bincount(slot, minlength=sets * BITMAP).reshape(sets, BITMAP) & 1
+    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
 
 
-def candidates(docs: DataFrame, shared: str, bits: int, copies: str, copy_bits: int, size: int, percent: int) -> DataFrame:
-    """(id, n, rare, shingles) of representatives whose prefix another set may share; shingles rarest first, rare of them in no other set."""
+def candidates(docs: DataFrame, shared: str, bits: int, size: int, percent: int, fan: int = hashstore.FAN) -> DataFrame:
+    """(id, h1, h2, n, rare, bitmap, shingles) of distinct sets whose prefix another set may share; shingles rarest first, rare of them in no other set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = hashstore.Shards(shared, bits, ("df",))
-        twins = hashstore.Shards(copies, copy_bits, ("h2", "keep"), (np.uint64, np.int64))
+        seen: set[tuple] = set()
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, key, cut in shingle_sets(batch.column(1), size):
+            for lo, hi, key, cut in shingle_sets(batch.column(0), size):
                 h1, h2 = set_hashes(key, cut)
-                twin, other, keep = twins.look_up(h1)
-                doc = np.array(ids.slice(lo, hi - lo).to_pylist(), object)
                 rows = np.repeat(np.arange(hi - lo), np.diff(cut))
-                there, df = table_.look_up(short_key(key, bits))
+                there, df = table_.look_up(short_key(key, fan))
                 df = np.where(there, df, 1)
                 n = np.diff(cut)
                 rare = np.bincount(rows, df == 1, minlength=hi - lo).astype(np.int64)
                 prefix = n - -(-percent * n // 100) + 1
-                mine = np.array([d is not None and (not t or o != b or d == k) for d, t, o, b, k in zip(doc, twin, other, h2, keep)], bool)
+                out = np.flatnonzero((n > 0) & (rare < prefix))
+                out = out[unseen(seen, list(zip(h1[out].tolist(), h2[out].tolist())))]
                 order = np.lexsort((key, df, rows))
-                out = [i for i in np.flatnonzero((n > 0) & (rare < prefix) & mine)]
-                sets = [key[order[cut[i] : cut[i + 1]]].tobytes() for i in out]
-                yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i in out], pa.int64()), pa.array(n[out], pa.int64()), pa.array(rare[out], pa.int64()), pa.array(sets, pa.binary())], names=["id", "n", "rare", "shingles"])
+                sets = [key[order[cut[i] : cut[i + 1]]] for i in out]
+                bits_of = parity(np.concatenate(sets), np.append(0, np.cumsum(n[out]))) if len(out) else []
+                cols = [pa.array(h1[out].view(np.int64)), pa.array(h2[out].view(np.int64)), pa.array(n[out], pa.int64()), pa.array(rare[out], pa.int64()), pa.array(bits_of, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "n", "rare", "bitmap", "shingles"])
 
-    return docs.mapInArrow(run, "id long, n long, rare long, shingles binary")
+    found = docs.select("text").mapInArrow(run, "h1 long, h2 long, n long, rare long, bitmap binary, shingles binary")
+    return found.dropDuplicates(["h1", "h2"]).withColumn("id", F.monotonically_increasing_id())
 
 
-def store_sets(cands: DataFrame, uri: str, parts: int) -> None:
-    """Write each set, sorted, to a shard by its id: ids, ends and shingles."""
+def _longs(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, now, ids, sets = [], None, [], []
 
-        def close() -> None:
-            hashstore.write(uri, f"ids-{now}", np.array(ids, np.int64))
-            hashstore.write(uri, f"ends-{now}", np.cumsum([len(s) for s in sets]).astype(np.int64))
-            hashstore.write(uri, f"sets-{now}", np.concatenate(sets))
-            done.append(now)
+def compared(pairs: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
+    """(a, b, overlap, linked, more, less) of pairs (a, b) of whole sets; more is a - b and less is b - a."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, i, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != now:
-                    if now is not None:
-                        close()
-                    now, ids, sets = part, [], []
-                if ids and ids[-1] == i:
-                    continue  # a repeated row
-                ids.append(i)
-                sets.append(np.sort(np.frombuffer(raw, np.uint64)))
-        if now is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["part"])
-
-    rows = cands.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id", "shingles")
-    rows.repartition(parts, "part").sortWithinPartitions("part", "id").mapInArrow(run, "part int").write.format("noop").mode("overwrite").save()
-
-
-def verify(pairs: DataFrame, uri: str, parts: int, percent: int) -> DataFrame:
-    """(a, b) with overlap and linked."""
+            overlap, linked, more, less = [], [], [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.sort(_longs(x)), np.sort(_longs(y))
+                more.append(np.setdiff1d(x, y, True))
+                less.append(np.setdiff1d(y, x, True))
+                overlap.append(len(x) - len(more[-1]))
+                linked.append(100 * overlap[-1] >= percent * (len(x) + len(less[-1])))
+            cols = [pa.array(overlap, pa.int64()), pa.array(linked, pa.bool_()), *(pa.array([d.tobytes() for d in c], pa.binary()) for c in (more, less))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *cols], names=["a", "b", "overlap", "linked", "more", "less"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[int, tuple] = {}
+    x, y = (cands.select(F.col("id").alias(k), F.col("shingles").alias(v)).hint("merge") for k, v in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, overlap long, linked boolean, more binary, less binary")
 
-        def get(i: int) -> np.ndarray:
-            k = i % parts
-            if k not in opened:
-                opened[k] = hashstore.read(uri, f"ids-{k}", np.int64), hashstore.read(uri, f"ends-{k}", np.int64), hashstore.read(uri, f"sets-{k}")
-            ids, ends, sets = opened[k]
-            r = int(np.searchsorted(ids, i))
-            return sets[ends[r - 1] if r else 0 : ends[r]]
 
+def derived(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that link, from what both know of one pivot (known: id, pivot, pivot_n, more, less)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            overlap, linked = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-            order, last, held = np.lexsort((a, b)), None, None
-            for k in order:
-                if b[k] != last:
-                    last, held = b[k], np.array(get(int(b[k])))
-                x = get(int(a[k]))
-                at = np.searchsorted(held, x)
-                at[at == len(held)] = 0
-                overlap[k] = np.count_nonzero(held[at] == x)
-                linked[k] = 100 * overlap[k] >= percent * (len(x) + len(held) - overlap[k])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(overlap), pa.array(linked)], names=["a", "b", "overlap", "linked"])
-
-    return pairs.select("a", "b").mapInArrow(run, "a long, b long, overlap long, linked boolean")
-
-
-def open_pairs(n, pos, label, pivot, overlap, pivot_n, side, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one index list (in size order) that may link and aren't connected, and whether they are known to link."""
+            linked = []
+            for p, *sides in zip(*(batch.column(c).to_pylist() for c in ("pivot_n", "more_a", "less_a", "more_b", "less_b"))):
+                more_x, less_x, more_y, less_y = map(_longs, sides)
+                x, y = p - len(less_x) + len(more_x), p - len(less_y) + len(more_y)
+                both = p - len(less_x) - len(less_y) + len(np.intersect1d(less_x, less_y, True)) + len(np.intersect1d(more_x, more_y, True))
+                linked.append(100 * both >= percent * (x + y - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    x, y = (known.select(F.col("id").alias(k), F.col("more").alias(f"more_{k}"), F.col("less").alias(f"less_{k}"), *(["pivot_n"] if k == "a" else [])).hint("merge") for k in "ab")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+
+
+def open_pairs(n, pos, label, pivot, overlap, pivot_n, side, bitmap, percent: int, limit: int | None) -> tuple[np.ndarray, ...]:
+    """Pairs (i, j) of rows of one index list (in size order) that may link and aren't connected, and whether they surely link; and whether limit left some out."""
     out: list[tuple] = []
-    starts = range(0, len(n), BLOCK)
-    block = [(s, min(s + BLOCK, len(n))) for s in starts]
+    block = [(s, min(s + BLOCK, len(n))) for s in range(0, len(n), BLOCK)]
     big = [n[b - 1] for _, b in block]
     room = [(n[a:b] - pos[a:b]).max() for a, b in block]
     one = [label[a] if (label[a:b] == label[a]).all() else None for a, b in block]
@@ -299,31 +293,48 @@ def open_pairs(n, pos, label, pivot, overlap, pivot_n, side, percent: int) -> tu
             least = need(n[x], n[y], percent)
             ok = (x < y) & (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 1)) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least)
             both = (pivot[x] == pivot[y]) & (pivot[x] >= 0)
-            high = np.minimum(overlap[x], overlap[y]) + np.minimum(n[x] - overlap[x], n[y] - overlap[y])
-            ok &= ~both | (high >= least)
-            sure = both & (overlap[x] + overlap[y] - pivot_n[x] >= least)
+            high = np.where(both, np.minimum(overlap[x], overlap[y]) + np.minimum(n[x] - overlap[x], n[y] - overlap[y]), np.minimum(n[x], n[y]))
+            ok &= high >= least
             i, j = np.nonzero(ok)
-            out.append((a + i, c + j, sure[i, j]))
+            i, j = a + i, c + j
+            high = np.minimum(high[i - a, j - c], (n[i] + n[j] - np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(1, dtype=np.int64)) // 2)
+            fine = high >= least[i - a, j - c]
+            i, j, high = i[fine], j[fine], high[fine]
+            both = (pivot[i] == pivot[j]) & (pivot[i] >= 0)
+            sure = both & (overlap[i] + overlap[j] - pivot_n[i] >= least[i - a, j - c])
+            out.append((i, j, sure, both, high - least[i - a, j - c] + (sure << 40)))
     if not out:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, bool),)
-    return tuple(np.concatenate(c) for c in zip(*out))
+        return *(np.empty(0, np.int64),) * 2, *(np.empty(0, bool),) * 2, False
+    i, j, sure, both, worth = (np.concatenate(c) for c in zip(*out))
+    if limit is None or not len(i):
+        return i, j, sure, both, False
+    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    order = np.lexsort((-worth, high, low))
+    new = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    kept = order[np.arange(len(order)) - start < limit]
+    return i[kept], j[kept], sure[kept], both[kept], len(kept) < len(i)
+
+
+ROWS = ["token", "part", "id", "n", "pos", "label", "pivot", "overlap", "pivot_n", "side", "bitmap"]
 
 
-def pairs_left(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure) from rows (token, part, id, n, pos, label, pivot, overlap, pivot_n, side), one (token, part) at a time."""
+def pairs_left(rows: DataFrame, percent: int, limit: int | None) -> DataFrame:
+    """(a, b, sure, same, cut) from ROWS, one (token, part) at a time; same: both know one pivot; cut: limit left pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             ids, *cols = (np.concatenate(c) for c in zip(*parts))
             order = np.lexsort((ids, cols[0]))
-            i, j, sure = open_pairs(*(c[order] for c in cols), percent)
+            i, j, sure, same, cut = open_pairs(*(c[order] for c in cols), percent, limit)
             ids = ids[order]
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure, pa.bool_()), pa.array(same, pa.bool_()), pa.array(np.full(len(a), cut), pa.bool_())], names=["a", "b", "sure", "same", "cut"])
 
         now, parts = None, []
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            cols.append(np.frombuffer(b"".join(batch.column(len(ROWS) - 1).to_pylist()), np.uint64).reshape(len(batch), BITMAP // 64))
             cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
                 if lo == hi:
@@ -336,128 +347,108 @@ def pairs_left(rows: DataFrame, percent: int) -> DataFrame:
         if parts:
             yield close(parts)
 
-    rows = rows.select("token", "part", "id", "n", "pos", "label", "pivot", "overlap", "pivot_n", "side")
-    return rows.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "a long, b long, sure boolean")
+    return rows.select(*ROWS).repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "a long, b long, sure boolean, same boolean, cut boolean")
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """rows of lists that hold several components, with side (0: the list's largest component, whose sets don't meet each other again) and part.
+
+    Parts hold LIST rows, about; an (other, main) pair of parts meets once, and so does each pair of other parts.
+    """
+    shares = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    shares = shares.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    shares = shares.select("token", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / LIST).alias("main_parts"), F.ceil((F.col("all") - F.col("top.c")) / LIST).alias("other_parts"))
+    rows = rows.join(shares, "token").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, F.col("other_parts")).otherwise(F.col("main_parts"))))
+    o, m = F.col("other_parts"), F.col("main_parts")
+    with_main = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda k: F.col("own") * m + k)
+    with_other = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda k: o * m + F.least(k, F.col("own")) * o + F.greatest(k, F.col("own")))
+    for_main = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda k: k * m + F.col("own"))
+    meets = F.when(F.col("side") == 0, for_main).otherwise(F.when(o == 1, with_main).otherwise(F.concat(with_main, with_other)))
+    return rows.withColumn("part", F.explode(meets))
 
 
 def link_sets(cands: DataFrame, spark: SparkSession, percent: int) -> DataFrame:
     """(id, component) of the candidates that link with another one."""
-    total = cands.count()
-    parts = max(1, -(-total // SETS))
-    store = fresh(spark, "sets")
-    store_sets(cands, store, parts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, row, pos = [], [], []
-            n, rare = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for i, raw in enumerate(batch.column(3).to_pylist()):
+            n, rare = batch.column("n").to_numpy(), batch.column("rare").to_numpy()
+            for i, raw in enumerate(batch.column("shingles").to_pylist()):
                 end = n[i] - -(-percent * n[i] // 100) + 1
-                tokens.append(np.frombuffer(raw, np.uint64)[rare[i] : end])
+                tokens.append(_longs(raw)[rare[i] : end])
                 row.append(np.full(end - rare[i], i))
                 pos.append(np.arange(rare[i], end))
-            row = np.concatenate(row) if row else np.empty(0, np.int64)
+            row = pa.array(np.concatenate(row) if row else np.empty(0, np.int64), pa.int64())
             token = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(np.concatenate(pos) if pos else np.empty(0, np.int64), pa.int64())], names=["token", "id", "n", "rare", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), *(batch.column(c).take(row) for c in ("id", "n", "rare")), pa.array(np.concatenate(pos) if pos else np.empty(0, np.int64), pa.int64())], names=["token", "id", "n", "rare", "pos"])
 
-    lists = durable(cands.mapInArrow(index, "token long, id long, n long, rare long, pos long"), "lists")
+    lists = durable(cands.select("id", "n", "rare", "shingles").mapInArrow(index, "token long, id long, n long, rare long, pos long"), "lists")
     # the list's most central set: the least share of shingles that are its own
-    pivots = lists.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("own"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p"), F.count("*").alias("long")).filter("long > 1").select("token", "p.pivot", "p.pivot_n", "long")
-    pivots = durable(pivots, "pivots")
-    near = lists.join(pivots, "token").filter((F.col("id") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
-    near = near.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = durable(verify(near.repartition("b", F.pmod("a", F.lit(16))), store, parts, percent), "compared")
+    pivots = lists.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("own"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p"), F.count("*").alias("long"))
+    pivots = durable(pivots.filter("long > 1").select("token", "p.pivot", "p.pivot_n", "long"), "pivots")
+    rows = lists.count()
+    hot = F.broadcast(pivots.filter(F.col("long") * HEAVY > rows))
+    cold = lists.join(hot.select("token"), "token", "left_anti").join(pivots.hint("merge"), "token")
+    several = durable(lists.join(hot, "token").unionByName(cold), "several")
+    near = several.filter((F.col("id") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
+    near = near.groupBy("id", "pivot").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", F.col("pivot").alias("b"))).alias("m"))
+    first = durable(compared(near.select(F.col("id").alias("a"), "m.b"), cands, percent), "compared")
+    sizes = cands.select(F.col("id").alias("b"), F.col("n").alias("pivot_n"))
+    known = durable(first.join(sizes, "b").select(F.col("a").alias("id"), F.col("b").alias("pivot"), "pivot_n", "overlap", "more", "less"), "known")
     links = first.filter("linked").select("a", "b")
     joined = components(links)
-    # what each set knows of one pivot: of those it was compared with, the one it shares most with
-    known = first.groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("pivot"), "overlap"), F.struct("overlap", "b")).alias("k")).select(F.col("a").alias("id"), "k.pivot", "k.overlap")
-    sizes = cands.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n")).distinct()
-    known = known.join(sizes, "pivot")
-    facts = cands.select("id").distinct().join(joined, "id", "left").join(known, "id", "left")
-    facts = facts.select("id", F.coalesce("component", "id").alias("label"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n"))
-    rows = durable(lists.join(pivots.select("token"), "token", "left_semi").select("token", "id", "n", "pos").join(facts, "id"), "rows")
-    # lists that hold several components; the largest component's sets don't meet each other again
-    shares = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
-    shares = shares.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    shares = shares.select("token", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / LIST).alias("main_parts"), F.ceil((F.col("all") - F.col("top.c")) / LIST).alias("other_parts"))
-    rows = rows.join(shares, "token").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, F.col("other_parts")).otherwise(F.col("main_parts")))
-    rows = rows.withColumn("own", own)
-    # (other, main) parts meet, and so do all pairs of other parts; parts get numbers of their own
-    o, m = F.col("other_parts"), F.col("main_parts")
-    with_main = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda k: F.col("own") * m + k)
-    with_other = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda k: o * m + F.least(k, F.col("own")) * o + F.greatest(k, F.col("own")))
-    for_main = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda k: k * m + F.col("own"))
-    meets = F.when(F.col("side") == 0, for_main).otherwise(F.when(o == 1, with_main).otherwise(F.concat(with_main, with_other)))
-    rows = rows.withColumn("part", F.explode(meets))
-    left = durable(pairs_left(rows, percent).groupBy("a", "b").agg(F.max("sure").alias("sure")), "left")
-    found = verify(left.filter("not sure").repartition("b", F.pmod("a", F.lit(16))), store, parts, percent).filter("linked").select("a", "b")
-    found = durable(found.union(left.filter("sure").select("a", "b")), "found")
-    out = joined if found.isEmpty() else components(links.union(found))
-    hashstore.remove(store)
-    return out
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    used = [lists, pivots, several, first, known]
+    facts = several.select("token", "id", "n", "pos").join(cands.select("id", "bitmap").hint("merge"), "id").join(known.select("id", "pivot", "pivot_n", "overlap").hint("merge"), "id", "left")
+    for limit in (LIMIT, None):
+        rows = facts.join(joined, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("label"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n"), "bitmap")
+        rows = durable(rows, "rows")
+        left = durable(pairs_left(in_parts(rows), percent, limit).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("sure", "same", "cut")]), "left")
+        open_ = left.filter("not sure")
+        found = compared(open_.filter("not same"), cands, percent).filter("linked").select("a", "b").unionByName(derived(open_.filter("same"), known, percent)).unionByName(left.filter("sure").select("a", "b"))
+        found = durable(found, "found")
+        used += [rows, left, found]
+        links = links.unionByName(found)
+        joined = joined if found.isEmpty() else components(links)
+        if left.filter("cut").isEmpty():
+            break
+    discard(spark, *used)
+    return joined  # components() wrote it
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, shard: int = SHARD, fan: int = hashstore.FAN) -> DataFrame:
     """id_col, n_shingles and component_id for each row of docs."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
     sets = durable(read_sets(plain, size), "sets")
     real = sets.filter("n > 0 and doc_id is not null")
     total, shingles = real.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    groups = durable(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.count("*").alias("copies")).filter("copies > 1"), "equal")
-    bits = max(1, int(-(-shingles // SHARD) - 1).bit_length())
-    shared, twins = fresh(spark, "shared"), fresh(spark, "twins")
-    count_shared(plain, shared, bits, size)
-    twin_bits = max(1, int(total // (1 << 20)).bit_length())
-    store_twins(groups, twins, twin_bits)
-    cands = durable(candidates(plain, shared, bits, twins, twin_bits, size, percent), "candidates")
-    joined = durable(link_sets(cands, spark, percent).select(F.col("id").alias("keep"), "component"), "joined")
-    hashstore.remove(shared)
-    hashstore.remove(twins)
-    heavy, light = groups.filter(F.col("copies") * HEAVY > total), groups.filter(F.col("copies") * HEAVY <= total)
-    rows = sets.join(F.broadcast(heavy.select("h1", "h2", F.col("keep").alias("hot"))), ["h1", "h2"], "left")
-    cold = rows.filter("hot is null and n > 0 and doc_id is not null").select("doc_id", "n", "h1", "h2").join(light.select("h1", "h2", "keep"), ["h1", "h2"], "left")
-    cold = cold.select("doc_id", "n", F.coalesce("keep", "doc_id").alias("keep")).join(joined, "keep", "left").select("doc_id", "n", F.coalesce("component", "keep").alias("component_id"))
-    hot = heavy.select(F.col("keep")).join(joined, "keep", "left").select(F.col("keep").alias("hot"), F.coalesce("component", "keep").alias("component_id"))
-    hot = rows.filter("hot is not null and n > 0 and doc_id is not null").select("doc_id", "n", "hot").join(F.broadcast(hot), "hot").select("doc_id", "n", "component_id")
-    none = sets.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = cold.unionByName(hot).unionByName(none)
+    groups = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.count("*").alias("copies"))
+    groups = durable(groups, "equal")
+    bits, shared = hashstore.shard_bits(shingles, shard, fan), fresh(spark, "shared")
+    texts = plain.filter("doc_id is not null")
+    count_shared(texts, shared, bits, size, fan)
+    cands = durable(candidates(texts, shared, bits, size, percent, fan), "candidates")
+    discard(spark, shared)
+    joined = link_sets(cands, spark, percent)
+    linked = cands.select("id", "h1", "h2").join(joined, "id").join(groups.hint("merge"), ["h1", "h2"]).select("h1", "h2", "component", "keep")
+    linked = durable(linked, "linked")
+    least = linked.groupBy("component").agg(F.min("keep").alias("component_id"))
+    of_component = linked.join(least, "component").select("h1", "h2", "component_id")
+    # equal or linked sets; all others are their own class
+    classes = groups.join(of_component.hint("merge"), ["h1", "h2"], "left").filter("copies > 1 or component_id is not null").select("h1", "h2", "copies", F.coalesce("component_id", "keep").alias("component_id"))
+    classes = durable(classes, "classes")
+    heavy = F.broadcast(classes.filter(F.col("copies") * HEAVY > total).select("h1", "h2", F.col("component_id").alias("hot")))
+    rows = sets.join(heavy, ["h1", "h2"], "left")
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    cold = rows.filter(~alone & F.col("hot").isNull()).drop("hot").join(classes.select("h1", "h2", "component_id").hint("merge"), ["h1", "h2"], "left")
+    cold = cold.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    hot = rows.filter(alone | F.col("hot").isNotNull()).select("doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("hot")).alias("component_id"))
+    out = durable(cold.unionByName(hot), "components")
+    discard(spark, sets, groups, cands, linked, classes)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def store_twins(groups: DataFrame, uri: str, bits: int) -> None:
-    """Write the digests of sets that several rows have, with the least id, as shards by h1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, done = None, [], []
-
-        def close() -> None:
-            cols = [np.concatenate(c) for c in zip(*rows)]
-            order = np.argsort(cols[0].view(np.uint64), kind="stable")
-            for name, c in zip(("key", "h2", "keep"), (cols[0].view(np.uint64), cols[1].view(np.uint64), cols[2])):
-                hashstore.write(uri, f"{name}-{now}", c[order])
-            done.append(now)
-
-        for batch in batches:
-            part, *cols = (c.to_numpy() for c in batch.columns)
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
-                if lo == hi:
-                    continue
-                if part[lo] != now:
-                    if now is not None:
-                        close()
-                    now, rows = int(part[lo]), []
-                rows.append([c[lo:hi] for c in cols])
-        if now is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["part"])
-
-    rows = groups.select(F.shiftrightunsigned("h1", 64 - bits).cast("int").alias("part"), "h1", "h2", "keep")
-    rows.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(run, "part int").write.format("noop").mode("overwrite").save()
-
-
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -2,12 +2,14 @@
 
 Counting. A task counts the bigrams and words of a block of text in numpy and sends
 each distinct one once, to the shard of its hash; bigrams are dealt by the hash of both
-words, so a frequent word or pair weighs on no single task. A shard adds up its blocks, writes
-its bigrams as sorted hash arrays, and passes on what its distinct bigrams say about
+words, so a frequent word or pair weighs on no single task. A block sends one row to each of a fixed number of
+ranges, which are dealt on where there are more shards than that (``hashstore.dealt``), so rows grow with the input.
+A shard adds up its blocks, writes its bigrams as sorted hash arrays, and passes on what its distinct bigrams say about
 their words: continuation counts of the second, and totals of the first as a context.
 Those meet in a second round, by word.
 
-Scoring. Workers map the arrays into memory and look up whole blocks of tokens at once.
+Scoring. Workers map the arrays into memory, at most ``hashstore.OPEN`` shards at a time, and look up whole blocks of
+tokens at once, in the order of their shards. A shard that is missing fails the job.
 
     p(w|v) = (c(vw) - D(c(vw))) / c(v.) + g(v) p(w)
     p(w) = (N(.w) - D'(N(.w))) / N(..) + g' / (V + 1)
@@ -21,7 +23,7 @@ Words are told apart by 64-bit hashes, words inside bigrams by WORD_BYTES bytes
 
 Cases: null text is empty: one token, the end. Repeated rows train and are scored each.
 Without training text every p(w) is 1 and base_score is 0 (log10 of 0.5 / 0.5). A null
-id counts as held in. An empty table gives an empty result.
+id counts as held in; extra columns are not read. A long text is scored in one piece. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from . import hashstore
 from .bytesops import ODD, U, chunks, mix, words
-from .common import bucket_of_id, durable, fresh, table, text_of
+from .common import bucket_of_id, discard, durable, fresh, table, text_of
+from .hashstore import by_shard, cuts_of
 
 #: Bytes of text that are counted together; bigrams in a shard, about; bytes of a word's hash in a bigram.
 FLUSH, SHARD, WORD_BYTES = 10 << 20, 1 << 20, 5
@@ -82,24 +85,18 @@ def long(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel() << _CUT
 
 
-def cuts_of(key: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Where each shard's keys are among sorted ones."""
-    inner = np.searchsorted(key, np.arange(1, 1 << bits, dtype=np.uint64) << U(64 - bits)).tolist()
-    return list(zip([0, *inner], [*inner, len(key)]))
+def counts_out(n: np.ndarray) -> bytes:
+    return n.astype("<u4" if n.max(initial=0) < 1 << 32 else "<u8").tobytes()
 
 
-def streamed(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[tuple[int, list[tuple]]]:
-    """(shard, its rows without the shard) of batches that are sorted by their first column."""
-    now, rows = None, []
-    for batch in batches:
-        for shard, *row in zip(*(batch.column(i).to_pylist() for i in range(fields))):
-            if shard != now:
-                if rows:
-                    yield now, rows
-                now, rows = shard, []
-            rows.append(row)
-    if rows:
-        yield now, rows
+def counts_in(raw: bytes, entries: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * entries else "<u8").astype(np.int64)
+
+
+def joined(rows: list, keys: int, values: int, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (of width bytes) and counts of several blocks, one after the other."""
+    read = (lambda r: np.frombuffer(r, np.uint64)) if width == 8 else long
+    return np.concatenate([read(r[keys]) for r in rows]), np.concatenate([counts_in(r[values], len(r[keys]) // width) for r in rows])
 
 
 class Model:
@@ -124,12 +121,24 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.clip(d, 0, [0, 1, 2, 3])
 
 
-def count(docs: DataFrame, spark: SparkSession) -> Model:
+def count(docs: DataFrame, spark: SparkSession, shard: int = SHARD, fan: int = hashstore.FAN) -> Model:
     """Count docs' text into a model in the shared folder."""
     uri = fresh(spark, "ngrams")
     size = docs.select(F.coalesce(F.sum(F.octet_length("text") / 6.0), F.lit(0.0))).first()[0]
-    bits = max(1, int(size // SHARD).bit_length())
-    schema = "shard int, words binary, word_counts binary, firsts binary, seconds binary, counts binary"
+    bits = hashstore.shard_bits(size, shard, fan)
+    blocks, links = ["words", "word_counts", "firsts", "seconds", "counts"], ["contexts", "totals", "heads", "lefts"]
+
+    def block(word: np.ndarray, many: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray, key: np.ndarray, done: int, to: int) -> list[list[bytes]]:
+        """Columns with a part for each of 2 ** to ranges below the first done bits; words and keys are sorted."""
+        w, p = cuts_of(word << U(done), to), cuts_of(key << U(done), to)
+        return [[word[a:b].tobytes() for a, b in w], [counts_out(many[a:b]) for a, b in w], [short(first[a:b]) for a, b in p], [short(second[a:b]) for a, b in p], [counts_out(n[a:b]) for a, b in p]]
+
+    def merge_pairs(columns: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        rows = list(zip(*columns))
+        word, _, many = tally(*joined(rows, 0, 1))
+        (first, n), second = joined(rows, 2, 4, WORD_BYTES), np.concatenate([long(r[3]) for r in rows])
+        key, at, n = tally(pair_key(first, second), n)
+        return word, many, first[at], second[at], n, key
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, held = [], 0
@@ -139,13 +148,8 @@ def count(docs: DataFrame, spark: SparkSession) -> Model:
             first = np.concatenate([p[1] for p in pending])
             word, _, many = tally(token, np.ones(len(token), np.int64))
             key, at, n = tally(pair_key(first, token), np.ones(len(token), np.int64))
-            first, second = first[at], token[at]
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for k, ((a, b), (c, d)) in enumerate(zip(cuts_of(word, bits), cuts_of(key, bits))):
-                values = k, word[a:b].tobytes(), many[a:b].astype("<u4").tobytes(), short(first[c:d]), short(second[c:d]), n[c:d].astype("<u4").tobytes()
-                for column, value in zip(rows, values):
-                    column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, [pa.int32()] + [pa.binary()] * 5)], names=["shard", "words", "word_counts", "firsts", "seconds", "counts"])
+            columns = block(word, many, first[at], token[at], n, key, 0, fan)
+            return pa.RecordBatch.from_arrays([pa.array(range(1 << fan), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", *blocks])
 
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
@@ -159,51 +163,49 @@ def count(docs: DataFrame, spark: SparkSession) -> Model:
             yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in streamed(batches, 6):
-            word, _, many = tally(np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows]), np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64))
-            hashstore.write(uri, f"word/key-{shard}", word)
-            hashstore.write(uri, f"word/n-{shard}", many)
-            first, second = np.concatenate([long(r[2]) for r in rows]), np.concatenate([long(r[3]) for r in rows])
-            key, at, n = tally(pair_key(first, second), np.concatenate([np.frombuffer(r[4], "<u4") for r in rows]).astype(np.int64))
-            hashstore.write(uri, f"once/key-{shard}", key[n == 1])
-            hashstore.write(uri, f"more/key-{shard}", key[n > 1])
-            hashstore.write(uri, f"more/n-{shard}", n[n > 1])
-            context, _, total, n1, n2, n3 = tally(first[at], n, *((n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64)))
-            head, _, lefts = tally(second[at], np.ones(len(n), np.int64))
+        for shard, rows in by_shard(batches, len(blocks)):
+            word, many, first, second, n, key = merge_pairs(list(zip(*rows)))
+            hashstore.write(f"{uri}/pairs", f"{shard}", word_key=word, word_n=many, once_key=key[n == 1], more_key=key[n > 1], more_n=n[n > 1])
+            context, _, *sums = tally(first, n, *((n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64)))
+            head, _, lefts = tally(second, np.ones(len(n), np.int64))
             stats = [int(many.sum()), len(word), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
-            out = [
-                (k, short(context[a:b]), np.stack([total, n1, n2, n3])[:, a:b].astype("<u4" if total.max(initial=0) < 2**32 else "<u8").tobytes(), short(head[c:d]), lefts[c:d].astype("<u4").tobytes(), stats if k == 0 else [0] * 6)
-                for k, ((a, b), (c, d)) in enumerate(zip(cuts_of(context, bits), cuts_of(head, bits)))
-            ]
-            kinds = [pa.int32()] + [pa.binary()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["shard", "contexts", "totals", "heads", "lefts", "stats"])
+            columns = link(context, np.stack(sums), head, lefts, 0, fan)
+            kinds = [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(range(1 << fan), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds)), pa.array([stats] + [[0] * 6] * ((1 << fan) - 1), pa.list_(pa.int64()))], names=["shard", *links, "stats"])
+
+    def link(context: np.ndarray, sums: np.ndarray, head: np.ndarray, lefts: np.ndarray, done: int, to: int) -> list[list[bytes]]:
+        c, h = cuts_of(context << U(done), to), cuts_of(head << U(done), to)
+        return [[short(context[a:b]) for a, b in c], [counts_out(sums[:, a:b].ravel()) for a, b in c], [short(head[a:b]) for a, b in h], [counts_out(lefts[a:b]) for a, b in h]]
+
+    def merge_links(columns: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        rows = list(zip(*columns))
+        sums = []
+        for r in rows:
+            n = len(r[0]) // WORD_BYTES
+            sums.append(counts_in(r[1], 4 * n).reshape(4, n))
+        context, _, *sums = tally(np.concatenate([long(r[0]) for r in rows]), *np.concatenate(sums, 1))
+        head, _, lefts = tally(*joined(rows, 2, 3, WORD_BYTES))
+        return context, np.stack(sums), head, lefts
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for shard, rows in streamed(batches, 5):
-            four = []
-            for r in rows:
-                n = len(r[0]) // WORD_BYTES
-                four.append(np.frombuffer(r[1], "<u4" if len(r[1]) == 16 * n else "<u8").reshape(4, n).astype(np.int64))
-            four = np.concatenate(four, 1)
-            context, _, *sums = tally(np.concatenate([long(r[0]) for r in rows]), *four)
-            hashstore.write(uri, f"context/key-{shard}", context)
-            for name, s in zip(("total", "n1", "n2", "n3"), sums):
-                hashstore.write(uri, f"context/{name}-{shard}", s)
-            head, _, lefts = tally(np.concatenate([long(r[2]) for r in rows]), np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64))
-            hashstore.write(uri, f"head/key-{shard}", head)
-            hashstore.write(uri, f"head/lefts-{shard}", lefts)
+        for shard, rows in by_shard(batches, len(links)):
+            context, (total, n1, n2, n3), head, lefts = merge_links(list(zip(*rows)))
+            hashstore.write(f"{uri}/words", f"{shard}", context_key=context, context_total=total, context_n1=n1, context_n2=n2, context_n3=n3, head_key=head, head_lefts=lefts)
             out.append([*(int((lefts == k).sum()) for k in (1, 2, 3, 4)), int(lefts.sum()), len(head)])
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["stats"])
 
     def add_up(df: DataFrame) -> list[int]:
         return [int(x or 0) for x in df.select(*[F.sum(F.get("stats", F.lit(i))) for i in range(6)]).first()]
 
-    sent = docs.select("text").mapInArrow(send, schema).repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    passed = durable(sent.mapInArrow(gather, "shard int, contexts binary, totals binary, heads binary, lefts binary, stats array<long>"), "passed")
+    schema = lambda names: ", ".join(["shard int", *(f"{f} binary" for f in names)])
+    sent = hashstore.dealt(docs.select("text").mapInArrow(send, schema(blocks)), bits, blocks, lambda c, done, more: block(*merge_pairs(c), done, more), FLUSH, fan)
+    passed = durable(sent.mapInArrow(gather, schema(links) + ", stats array<long>"), "passed")
     total, distinct, *pairs = add_up(passed)
-    again = passed.drop("stats").repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    heads = add_up(durable(again.mapInArrow(finish, "stats array<long>"), "heads"))
+    again = hashstore.dealt(passed.drop("stats"), bits, links, lambda c, done, more: link(*merge_links(c), done, more), FLUSH, fan)
+    counted = durable(again.mapInArrow(finish, "stats array<long>"), "heads")
+    heads = add_up(counted)
+    discard(spark, passed, counted)
     return Model(uri, bits, total, distinct, pairs, heads)
 
 
@@ -211,10 +213,10 @@ class Reader:
     """A worker's view of a model."""
 
     def __init__(self, m: Model) -> None:
-        shards = lambda part, *values: hashstore.Shards(f"{m.uri}/{part}", m.bits, values, (np.int64,) * len(values))
         self.m = m
-        self.word, self.once, self.more = shards("word", "n"), shards("once"), shards("more", "n")
-        self.context, self.head = shards("context", "total", "n1", "n2", "n3"), shards("head", "lefts")
+        pairs, words = (lambda part, *values, store=store: hashstore.Shards(f"{m.uri}/{store}", m.bits, values, part) for store in ("pairs", "words"))
+        self.word, self.once, self.more = pairs("word_", "n"), pairs("once_"), pairs("more_", "n")
+        self.context, self.head = words("context_", "total", "n1", "n2", "n3"), words("head_", "lefts")
 
     def score(self, token: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Training count and log10 probability of each token."""
@@ -261,4 +263,6 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     held_out = F.coalesce(bucket_of_id("doc_id", 5) == 1, F.lit(False))
     model = count(docs.filter(~held_out), spark)
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = durable(score(docs, model), "scored")
+    discard(spark, model.uri)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

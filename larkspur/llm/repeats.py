@@ -5,23 +5,25 @@ LENGTH bytes is a trigger, so every such window holds one, at a place that only
 bytes decide. The window starts that share a trigger, with the bytes up to the last one's end, are a
 phrase. Equal windows have equal triggers, thus lie in phrases with the same trigger.
 
-Dictionary and parse. All occurrences of phrases, by a digest that keeps the trigger's
+Dictionary and parse. All occurrences of phrases, by a 128-bit digest that keeps the trigger's
 shard, meet once; a phrase keeps its first place in the corpus and how many distinct
 phrases share its trigger. All windows of a phrase's later occurrences are repeats; its
 first occurrence has repeats only if other phrases share its trigger. Those
 distinct phrases are the dictionary that is left: their suffixes are sorted by suffix
-array (prefix doubling up to LENGTH bytes), and in that order runs of suffixes with
-LENGTH bytes in common get the first place in the corpus of any of them, through the
-phrases' first places. A trigger that more than HOT phrases share
+array (prefix doubling up to LENGTH bytes). Phrases overlap by LENGTH - 1 bytes, so a window never runs into the
+next phrase, and the parse is sorted by one phrase and its places. Both orders together give the windows of each run of equal
+suffixes in the order of the corpus; the first of them stays. A trigger that more than HOT phrases share
 (a passage in very many documents) is not gathered: each block of text sorts its own
-suffixes of such phrases and sends each distinct one, as a 64-bit hash, to that hash's shard.
+suffixes of such phrases and sends each distinct one, as a 128-bit hash, to that hash's shard.
 
-The results are sorted arrays in the shared folder, which workers map into memory for
+A block sends one row to each of a fixed number of ranges (``hashstore.dealt``). The results are
+sorted arrays in the shared folder, which workers map into memory for
 the last pass over the texts. Nothing but the size of the input comes to the driver.
 
 Cases: null text is empty; texts shorter than LENGTH bytes have no repeats; periodic
-texts repeat themselves; a null id comes before all others; rows with the same id count
-as one place, so a repeated row is no earlier than itself; an empty table gives an empty result.
+texts repeat themselves; long texts are parsed in sections of PARSED bytes that share LENGTH - 1; a null id comes before all
+others; rows with the same id count as one place, so a repeated row is no earlier than itself; extra columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashstore
-from .bytesops import ODD, U, chunks, mix, powers, prefix_hash, window_hash
-from .common import fresh, table, text_of
-from .kneser_ney import cuts_of, streamed
+from .bytesops import BYTE_2, ODD, U, mix, powers, prefix_hash, sections, string_views, window_hash
+from .common import discard, durable, fresh, table, text_of
+from .hashstore import by_shard, cuts_of
+from .kneser_ney import long, short
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text a task works on before it sends; phrases in a shard, about; bytes that are parsed at once.
@@ -55,7 +58,7 @@ class Parse:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, bits: int, length: int = LENGTH) -> None:
         self.offsets, self.length = offsets, length
         n = len(data)
-        self.prefix = prefix_hash(data)
+        self.prefix, self.second = prefix_hash(data), prefix_hash(data, BYTE_2)
         starts = max(n - length + 1, 0)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         if starts:
@@ -77,12 +80,13 @@ class Parse:
             at = self.first + ((place[self.first] - self.first) & ((1 << PLACE) - 1))
             self.doc = doc[self.first]
             self.trigger = mix(rank[at] + ODD[7])  # least hashes are small; shards go by evenly spread bits
-            text = (self.prefix[self.last + length] - self.prefix[self.first]) * powers(n + 1)[1][self.first]
-            shape = (at - self.first).astype(np.uint64) * ODD[5] + (self.last - self.first).astype(np.uint64) * ODD[6]
-            self.phrase = in_shard(mix(text + mix(shape)), self.trigger, bits)
+            back = powers(n + 1)[1][self.first]
+            text, other = ((h[self.last + length] - h[self.first]) * back for h in (self.prefix, self.second))
+            shape = mix((at - self.first).astype(np.uint64) * ODD[5] + (self.last - self.first).astype(np.uint64) * ODD[6])
+            self.phrase, self.check = in_shard(mix(text + shape), self.trigger, bits), mix(other ^ shape)
         else:
             self.first = self.last = self.doc = np.empty(0, np.int64)
-            self.trigger = self.phrase = np.empty(0, np.uint64)
+            self.trigger = self.phrase = self.check = np.empty(0, np.uint64)
         self.at = self.first - offsets[self.doc]
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +95,14 @@ class Parse:
         of = np.repeat(np.arange(len(chosen)), size)
         return self.first[chosen][of] + np.arange(len(of)) - (np.cumsum(size) - size)[of], of
 
-    def window_key(self, start: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[start + self.length] - self.prefix[start]) * powers(len(self.prefix))[1][start])
+    def window_keys(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return window_keys(self.prefix, self.second, start, self.length)
+
+
+def window_keys(prefix: np.ndarray, second: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the windows."""
+    back = powers(len(prefix))[1][start]
+    return tuple(mix((h[start + length] - h[start]) * back) for h in (prefix, second))
 
 
 def in_shard(h: np.ndarray, trigger: np.ndarray, bits: int) -> np.ndarray:
@@ -120,11 +130,16 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     return order, np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else np.empty(0, np.int64)
 
 
-def first_places(key: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each distinct key, sorted: the row of its first place, and its total count."""
-    order = np.lexsort((at, doc, key))
+def first_places(key: np.ndarray, check: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each distinct (key, check), sorted by key: the row of its first place, and its total count."""
+    order = np.argsort(key, kind="stable")
     ranked = key[order]
-    new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(key) else np.empty(0, np.int64)
+    same = ranked[1:] == ranked[:-1]
+    several = (np.append(same, False) | np.append(False, same))[: len(key)]  # few keys are there twice; only those are sorted by place
+    rows = order[several]
+    order[several] = rows[np.lexsort((at[rows], doc[rows], check[rows], key[rows]))]
+    ranked, second = key[order], check[order]
+    new = np.flatnonzero(np.append(True, (ranked[1:] != ranked[:-1]) | (second[1:] != second[:-1]))) if len(key) else np.empty(0, np.int64)
     return ranked[new], order[new], np.add.reduceat(count[order], new) if len(key) else count
 
 
@@ -132,29 +147,50 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(FIRST).to_numpy(zero_copy_only=False)
 
 
-def bytes_rows(bits: int, key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row a shard, of a batch sorted by key: the shard and the bytes of each column's part."""
-    cuts = cuts_of(key, bits)
-    arrays = [pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary()) for c in (key, *columns)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), *arrays], names=["shard", *(f"c{i}" for i in range(len(arrays)))])
+def parts_of(key: np.ndarray, done: int, to: int, *columns: np.ndarray) -> list[list[bytes]]:
+    """The bytes of each column's parts, by the ranges of sorted keys below their first done bits."""
+    cuts = cuts_of(key << U(done), to)
+    return [[c[a:b].tobytes() for a, b in cuts] for c in columns]
+
+
+def row_batch(names: list[str], columns: list[list[bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(len(columns[0])), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", *names])
+
+
+def schema_of(names: list[str]) -> str:
+    return "shard int, " + ", ".join(f"{n} binary" for n in names)
 
 
-def find_phrases(docs: DataFrame, uri: str, bits: int) -> None:
-    """First places of phrases that occur again (phrase/), and triggers that several distinct phrases share (trigger/)."""
+def unpacked(columns: list[list[bytes]], kinds: tuple) -> list[np.ndarray]:
+    """Blocks' columns, one after the other; a kind is a type, or a function."""
+    return [np.concatenate([k(r) if callable(k) and not isinstance(k, type) else np.frombuffer(r, k) for r in c]) for c, k in zip(columns, kinds)]
+
+
+def find_phrases(docs: DataFrame, uri: str, bits: int, fan: int = hashstore.FAN) -> None:
+    """First places of phrases that occur again, and triggers that several distinct phrases share, in uri/phrases."""
+    names, kinds = ["phrases", "checks", "triggers", "docs", "places", "again"], (np.uint64, np.uint64, long, np.int64, "<u4", np.uint8)
+
+    def block(done: int, to: int, phrase, check, trigger, doc, at, n) -> list[list[bytes]]:
+        key, row, n = first_places(phrase, check, doc, at, n)
+        cuts = cuts_of(key << U(done), to)
+        return [*parts_of(key, done, to, key, check[row]), [short(trigger[row][a:b]) for a, b in cuts], *parts_of(key, done, to, doc[row], at[row].astype("<u4"), (n > 1).astype(np.uint8))]
+
+    def merged(columns: list[list[bytes]]) -> list[np.ndarray]:
+        *cols, again = unpacked(columns, kinds)
+        return [*cols, 1 + again.astype(np.int64)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            phrase, trigger, doc, at = (np.concatenate(c) for c in zip(*parts))
-            key, row, n = first_places(phrase, doc, at, np.ones(len(phrase), np.int64))
-            return bytes_rows(bits, key, (trigger[row] >> U(24)).astype("<u8"), doc[row], at[row].astype("<u4"), (n > 1).astype(np.uint8))
+            phrase, check, trigger, doc, at = (np.concatenate(c) for c in zip(*parts))
+            return row_batch(names, block(0, fan, phrase, check, trigger, doc, at, np.ones(len(phrase), np.int64)))
 
         for batch in batches:
             ids = ids_of(batch.column(0))
-            for lo, hi, data, offsets in chunks(batch.column(1), PARSED):
+            for rows, base, data, offsets in sections(batch.column(1), PARSED, LENGTH - 1):
                 p = Parse(data, offsets, bits)
-                parts.append((p.phrase, p.trigger, ids[lo:hi][p.doc], p.at))
+                parts.append((p.phrase, p.check, p.trigger, ids[rows][p.doc], p.at + base[p.doc]))
                 held += len(data)
                 if held > FLUSH:
                     yield flush()
@@ -164,21 +200,16 @@ def find_phrases(docs: DataFrame, uri: str, bits: int) -> None:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
-        for shard, rows in streamed(batches, 6):
-            phrase, trigger, doc, at, again = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.uint64, np.int64, "<u4", np.uint8)))
-            key, row, n = first_places(phrase, doc, at, 1 + again.astype(np.int64))
+        for shard, rows in by_shard(batches, len(names)):
+            phrase, check, trigger, doc, at, n = merged(list(zip(*rows)))
+            key, row, n = first_places(phrase, check, doc, at, n)
             many = n > 1
-            hashstore.write(uri, f"phrase/key-{shard}", key[many])
-            hashstore.write(uri, f"phrase/doc-{shard}", doc[row][many])
-            hashstore.write(uri, f"phrase/at-{shard}", at[row][many].astype(np.int64))
-            names, kinds = np.unique(trigger[row] << U(24), return_counts=True)
-            hashstore.write(uri, f"trigger/key-{shard}", names[kinds > 1])
-            hashstore.write(uri, f"trigger/kinds-{shard}", kinds[kinds > 1].astype(np.int64))
+            names_, of = np.unique(trigger[row], return_counts=True)
+            hashstore.write(f"{uri}/phrases", f"{shard}", key=key[many], check=check[row][many], doc=doc[row][many], at=at[row][many].astype(np.int64), trigger_key=names_[of > 1], trigger_kinds=of[of > 1].astype(np.int64))
             done.append(shard)
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
-    schema = "shard int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
-    sent = docs.mapInArrow(send, schema).repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
+    sent = hashstore.dealt(docs.mapInArrow(send, schema_of(names)), bits, names, lambda c, done, more: block(done, more, *merged(c)), FLUSH, fan)
     sent.mapInArrow(gather, "shard int").write.format("noop").mode("overwrite").save()
 
 
@@ -186,96 +217,77 @@ class Found:
     """A worker's view of what find_phrases wrote."""
 
     def __init__(self, uri: str, bits: int, hot: int) -> None:
-        two, self.hot = (np.int64, np.int64), hot
-        self.phrases = hashstore.Shards(f"{uri}/phrase", bits, ("doc", "at"), two)
-        self.triggers = hashstore.Shards(f"{uri}/trigger", bits, ("kinds",), (np.int64,))
-
-    def classify(self, p: Parse, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each phrase: whether it was there before, and whether its windows must be looked at, warm or hot."""
-        again, doc, at = self.phrases.look_up(p.phrase)
-        mine = ids[p.doc]
-        later = again & ((doc < mine) | ((doc == mine) & (at < p.at)))
-        _, kinds = self.triggers.look_up(p.trigger >> U(24) << U(24))
+        self.hot = hot
+        self.phrases = hashstore.Shards(f"{uri}/phrases", bits, ("doc", "at"), checked=True)
+        self.triggers = hashstore.Shards(f"{uri}/phrases", bits, ("kinds",), "trigger_")
+
+    def classify(self, p: Parse, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each phrase (its document's id and its place there): whether it was there before, and whether its windows must be looked at, warm or hot."""
+        again, doc, first = self.phrases.look_up(p.phrase, p.check)
+        later = again & ((doc < ids) | ((doc == ids) & (first < at)))
+        _, kinds = self.triggers.look_up(long(short(p.trigger)))
         return later, ~later & (kinds > 1) & (kinds <= self.hot), ~later & (kinds > self.hot)
 
 
-def find_windows(docs: DataFrame, uri: str, bits: int, hot_limit: int = HOT) -> None:
-    """First places of windows that several of the phrases left have (window/), from suffix arrays."""
+def find_windows(docs: DataFrame, uri: str, bits: int, hot_limit: int = HOT, fan: int = hashstore.FAN) -> None:
+    """First places of windows that several of the phrases left have, in uri/windows, from suffix arrays."""
+    names = ["triggers", "docs", "places", "sizes", "texts", "hot_keys", "hot_checks", "hot_docs", "hot_places", "hot_counts"]
+    kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint64, np.uint64, np.int64, np.int64, "<u4")
+
+    def block(done: int, to: int, trigger, doc, at, size, text, key, check, hot_doc, hot_at, n) -> list[list[bytes]]:
+        order = np.argsort(trigger, kind="stable")
+        begin, ends = (np.cumsum(size) - size)[order], np.append(0, np.cumsum(size[order]))
+        text = text[np.repeat(begin - ends[:-1], size[order]) + np.arange(ends[-1])]
+        cuts = cuts_of(trigger[order] << U(done), to)
+        columns = parts_of(trigger[order], done, to, *(c[order] for c in (trigger, doc, at, size)))
+        key, row, n = first_places(key, check, hot_doc, hot_at, n.astype(np.int64))
+        return [*columns, [text[ends[a] : ends[b]].tobytes() for a, b in cuts], *parts_of(key, done, to, key, check[row], hot_doc[row], hot_at[row], n.astype("<u4"))]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found(uri, bits, hot_limit)
-        warm_parts, hot_parts, held = [], [], 0
+        parts, held = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = ["shard", "hot", *(f"c{i}" for i in range(5))]
-            for hot, parts in ((False, warm_parts), (True, hot_parts)):
-                if not parts:
-                    continue
-                if hot:
-                    key, doc, at = (np.concatenate(c) for c in zip(*parts))
-                    key, row, n = first_places(key, doc, at, np.ones(len(key), np.int64))
-                    batch = bytes_rows(bits, key, doc[row], at[row], n.astype("<u4"), np.empty(0, np.uint8))
-                else:
-                    trigger, doc, at, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                    text = np.concatenate([p[4] for p in parts])
-                    order = np.argsort(trigger, kind="stable")
-                    begin = (np.cumsum(size) - size)[order]
-                    take = np.repeat(begin - np.append(0, np.cumsum(size[order])[:-1]), size[order]) + np.arange(size.sum())
-                    cuts = cuts_of(trigger[order], bits)
-                    ends = np.append(0, np.cumsum(size[order]))
-                    cols = [[c[order][a:b].tobytes() for a, b in cuts] for c in (trigger, doc, at, size)]
-                    cols.append([text[take[ends[a] : ends[b]]].tobytes() for a, b in cuts])
-                    batch = pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["shard", *names[2:]])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hot] * len(batch)), *(batch.column(i) for i in range(1, 6))], names=names)
+        def flush() -> pa.RecordBatch:
+            return row_batch(names, block(0, fan, *(np.concatenate(c) for c in zip(*parts))))
 
         for batch in batches:
             ids = ids_of(batch.column(0))
-            for lo, hi, data, offsets in chunks(batch.column(1), PARSED):
+            for rows, base, data, offsets in sections(batch.column(1), PARSED, LENGTH - 1):
                 p = Parse(data, offsets, bits)
-                _, warm, hot = found.classify(p, ids[lo:hi])
-                mine = ids[lo:hi][p.doc]
-                w = np.flatnonzero(warm)
-                if len(w):
-                    size = p.last[w] - p.first[w] + p.length
-                    take = np.repeat(p.first[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    warm_parts.append((p.trigger[w], mine[w], p.at[w], size, data[take]))
-                h = np.flatnonzero(hot)
-                if len(h):
-                    start, of = p.windows(h)
-                    hot_parts.append((p.window_key(start), mine[h][of], start - offsets[p.doc[h][of]]))
+                mine, at = ids[rows][p.doc], p.at + base[p.doc]
+                _, warm, hot = found.classify(p, mine, at)
+                w, (start, of) = np.flatnonzero(warm), p.windows(h := np.flatnonzero(hot))
+                size = p.last[w] - p.first[w] + p.length
+                take = np.repeat(p.first[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                key, check = p.window_keys(start)
+                parts.append((p.trigger[w], mine[w], at[w], size, data[take], key, check, mine[h][of], at[h][of] + start - p.first[h][of], np.ones(len(of), "<u4")))
                 held += len(data)
                 if held > FLUSH:
-                    yield from flush()
-                    warm_parts, hot_parts, held = [], [], 0
-        yield from flush()
+                    yield flush()
+                    parts, held = [], 0
+        if parts:
+            yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
-        for shard, rows in streamed(batches, 7):
-            keys, docs_, ats = [], [], []
-            for key, doc, at in (*sorted_suffixes([r[1:] for r in rows if not r[0]], bits), *merged([r[1:] for r in rows if r[0]])):
-                keys.append(key)
-                docs_.append(doc)
-                ats.append(at)
-            if keys:
-                key = np.concatenate(keys)
-                order = np.argsort(key, kind="stable")
-                for name, c in (("key", key), ("doc", np.concatenate(docs_)), ("at", np.concatenate(ats))):
-                    hashstore.write(uri, f"window/{name}-{shard}", c[order])
+        for shard, rows in by_shard(batches, len(names)):
+            warm, (key, check, doc, at, n) = (x := unpacked(list(zip(*rows)), kinds))[:5], x[5:]
+            key, row, n = first_places(key, check, doc, at, n.astype(np.int64))
+            hot = key[n > 1], check[row][n > 1], doc[row][n > 1], at[row][n > 1]
+            key, check, doc, at = (np.concatenate(c) for c in zip(hot, *sorted_suffixes(*warm, bits)))
+            order = np.argsort(key, kind="stable")
+            hashstore.write(f"{uri}/windows", f"{shard}", key=key[order], check=check[order], doc=doc[order], at=at[order])
             done.append(shard)
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
-    schema = "shard int, hot boolean, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
-    sent = docs.mapInArrow(send, schema).repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
+    sent = hashstore.dealt(docs.mapInArrow(send, schema_of(names)), bits, names, lambda c, done, more: block(done, more, *unpacked(c, kinds)), FLUSH, fan)
     sent.mapInArrow(gather, "shard int").write.format("noop").mode("overwrite").save()
 
 
-def sorted_suffixes(rows: list[tuple], bits: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(window key, doc, at) of the first place of every window that several phrases share; phrases of one trigger stay together."""
-    if not rows:
+def sorted_suffixes(trigger: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, text: np.ndarray, bits: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, check, doc, at) of the first place of every window that several phrases share; phrases of one trigger stay together."""
+    if not len(trigger):
         return
-    trigger, doc, at, size = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
-    text = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows])
     begin = np.cumsum(size) - size
     order = np.argsort(trigger, kind="stable")
     trigger = trigger[order]
@@ -300,60 +312,67 @@ def sorted_suffixes(rows: list[tuple], bits: int, length: int = LENGTH) -> Itera
             d, p = doc[rows_][of][ranked], (at[rows_][of] + inside)[ranked]
             by = np.lexsort((p, d, run))
             first = by[np.append(True, run[by][1:] != run[by][:-1])][several]
-            prefix = prefix_hash(part)
-            s = suffix[ranked[first]]
-            key = mix((prefix[s + length] - prefix[s]) * powers(len(prefix))[1][s])
-            yield in_shard(key, trigger[groups[a] : groups[b]][of[ranked[first]]], bits), d[first], p[first]
+            key, check = window_keys(prefix_hash(part), prefix_hash(part, BYTE_2), suffix[ranked[first]], length)
+            yield in_shard(key, trigger[groups[a] : groups[b]][of[ranked[first]]], bits), check, d[first], p[first]
         a = b
 
 
-def merged(rows: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The same from blocks' own sorted windows."""
-    if rows:
-        key, doc, at, n = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.int64, "<u4")))
-        key, row, n = first_places(key, doc, at, n.astype(np.int64))
-        yield key[n > 1], doc[row][n > 1], at[row][n > 1]
-
-
 def remove(docs: DataFrame, uri: str, bits: int, with_kept: bool = False, hot_limit: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the spans removed and the bytes kept."""
     extra = [("spans", pa.list_(pa.int64())), ("kept", pa.binary())] if with_kept else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found(uri, bits, hot_limit)
-        known = hashstore.Shards(f"{uri}/window", bits, ("doc", "at"), (np.int64, np.int64))
+        known = hashstore.Shards(f"{uri}/windows", bits, ("doc", "at"), checked=True)
+
+        def repeated(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
+            """Which bytes some window covers that starts earlier too."""
+            p = Parse(data, offsets, bits)
+            mine, place = ids[p.doc], p.at + base[p.doc]
+            later, warm, hot = found.classify(p, mine, place)
+            cover = np.zeros(len(data) + 1, np.int32)
+            np.add.at(cover, p.first[later], 1)
+            np.add.at(cover, p.last[later] + p.length, -1)
+            for chosen, is_hot in ((np.flatnonzero(warm), False), (np.flatnonzero(hot), True)):
+                if not len(chosen):
+                    continue
+                start, of = p.windows(chosen)
+                key, check = p.window_keys(start)
+                there, doc, at = known.look_up(key if is_hot else in_shard(key, p.trigger[chosen][of], bits), check)
+                own = mine[chosen][of]
+                repeat = start[there & ((doc < own) | ((doc == own) & (at < place[chosen][of] + start - p.first[chosen][of])))]
+                cover[: len(data)] += np.bincount(repeat, minlength=len(data))[: len(data)].astype(np.int32)
+                cover -= np.bincount(repeat + p.length, minlength=len(data) + 1).astype(np.int32)
+            return np.cumsum(cover[:-1]) > 0
+
         for batch in batches:
             ids, n = ids_of(batch.column(0)), len(batch)
             size, gone, spans, digest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
             cut, kept = [[]] * n, [b""] * n
-            for lo, hi, data, offsets in chunks(batch.column(1), PARSED):
-                p = Parse(data, offsets, bits)
-                later, warm, hot = found.classify(p, ids[lo:hi])
-                cover = np.zeros(len(data) + 1, np.int32)
-                np.add.at(cover, p.first[later], 1)
-                np.add.at(cover, p.last[later] + p.length, -1)
-                for chosen, is_hot in ((np.flatnonzero(warm), False), (np.flatnonzero(hot), True)):
-                    if not len(chosen):
-                        continue
-                    start, of = p.windows(chosen)
-                    key = p.window_key(start)
-                    there, doc, at = known.look_up(key if is_hot else in_shard(key, p.trigger[chosen][of], bits))
-                    row = p.doc[chosen][of]
-                    mine = ids[lo:hi][row]
-                    repeat = start[there & ((doc < mine) | ((doc == mine) & (at < start - offsets[row])))]
-                    cover[: len(data)] += np.bincount(repeat, minlength=len(data))[: len(data)].astype(np.int32)
-                    cover -= np.bincount(repeat + p.length, minlength=len(data) + 1).astype(np.int32)
-                out = np.cumsum(cover[:-1]) > 0
-                for i in range(lo, hi):
-                    a, b = offsets[i - lo], offsets[i - lo + 1]
-                    part = out[a:b]
-                    size[i], gone[i] = b - a, np.count_nonzero(part)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], part, [False]]).astype(np.int8)))
-                    spans[i] = len(edge) // 2
-                    rest = data[a:b][~part].tobytes() if gone[i] else data[a:b].tobytes()
-                    digest[i] = hashlib.sha256(rest).hexdigest()
-                    if with_kept:
-                        cut[i], kept[i] = edge.tolist(), rest
+
+            def close(i: int, text: np.ndarray, part: np.ndarray) -> None:
+                size[i], gone[i] = len(text), np.count_nonzero(part)
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], part, [False]]).astype(np.int8)))
+                spans[i] = len(edge) // 2
+                rest = text[~part].tobytes() if gone[i] else text.tobytes()
+                digest[i] = hashlib.sha256(rest).hexdigest()
+                if with_kept:
+                    cut[i], kept[i] = edge.tolist(), rest
+
+            whole, mask = string_views(batch.column(1)), np.empty(0, bool)
+            for rows, base, data, offsets in sections(batch.column(1), PARSED, LENGTH - 1):
+                out = repeated(data, offsets, ids[rows], base)
+                first, last = whole[1][rows[0]], whole[1][rows[-1] + 1]
+                if last - first == len(data):
+                    for k, i in enumerate(rows.tolist()):
+                        a, b = offsets[k], offsets[k + 1]
+                        close(i, data[a:b], out[a:b])
+                    continue
+                if not base[0]:  # the first section of a long text
+                    mask = np.zeros(last - first, bool)
+                mask[base[0] : base[0] + len(data)] |= out
+                if base[0] + len(data) == last - first:
+                    close(int(rows[0]), whole[0][first:last], mask)
             cols = [batch.column(0), *(pa.array(x) for x in (size, gone, spans)), pa.array(digest), *((pa.array(cut, extra[0][1]), pa.array(kept, extra[1][1])) if with_kept else ())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(e[0] for e in extra)])
 
@@ -361,16 +380,18 @@ def remove(docs: DataFrame, uri: str, bits: int, with_kept: bool = False, hot_li
     return docs.mapInArrow(run, schema + (", spans array<long>, kept binary" if with_kept else ""))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_kept: bool = False, hot_limit: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_kept: bool = False, hot_limit: int = HOT, shard: int = SHARD, fan: int = hashstore.FAN) -> DataFrame:
     """What is left of each text when repeats of LENGTH bytes are removed; spans are [start, end, start, end, ...] in bytes."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(1, int(size / 35 // SHARD).bit_length())
+    bits = hashstore.shard_bits(size / 35, shard, fan)
     uri = fresh(spark, "repeats")
-    find_phrases(plain, uri, bits)
-    find_windows(plain, uri, bits, hot_limit)
-    return remove(plain, uri, bits, with_kept, hot_limit).withColumnRenamed("doc_id", id_col)
+    find_phrases(plain, uri, bits, fan)
+    find_windows(plain, uri, bits, hot_limit, fan)
+    out = durable(remove(plain, uri, bits, with_kept, hot_limit), "kept")
+    discard(spark, uri)
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
