@@ -65,6 +65,22 @@ def test_one_digest_for_two_texts_fails(spark):
         exact_dedup.tree_merge(rows).collect()
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_sorted_runs_are_merged_in_binomial_rounds(spark, keep):
+    """Many small buckets and runs; and one array with each digest once at every level."""
+    rows = [(i, f"{i * i % 97:02}" * 3, i % 97 * 0 + i * i % 97, i * 5 % 64) for i in range(900)] + [(None, "zz", 7, 3), (5, "zz", 7, 9)]
+    df = spark.createDataFrame(rows, "_id long, _digest string, _guard long, _run int").withColumn("_digest", F.unhex(F.sha2("_digest", 256)))
+    got = {bytes(r._digest): (r._keep, r._size) for r in exact_dedup.tree_merge(df, keep, bucket=4).collect()}
+    want: dict = {}
+    for i, text, *_ in rows:
+        want.setdefault(hashlib.sha256(text.encode()).digest(), []).append(i)
+    pick = {"max": max, "min": min}[keep]
+    assert got == {d: (pick(x for x in ids if x is not None), len(ids)) for d, ids in want.items()}
+    run = [(b"a", 1, 1, 0, 0), (b"b", 2, 1, 1, 1), (b"a", 3, 4, 0, 0), (b"c", None, 1, 2, 2)]
+    one = spark.createDataFrame([(run,)], "r array<struct<d: binary, k: long, n: long, low: long, high: long>>").select(exact_dedup.merged(F.col("r"), keep).alias("m")).first().m
+    assert [(bytes(e.d), e.k, e.n) for e in one] == [(b"a", pick(1, 3), 5), (b"b", 2, 1), (b"c", None, 1)]
+
+
 def test_word_ids_equal_the_tokenizer():
     words = WordIds(packing.tokenizer_path())
     for t in ["", "Hello WORLD, it's 3.5!", "ΑΣ İstanbul Σ", "a\x1cb \x85 c\u2003d", "don't 'LL I'm é̀ ½ 漢字 \U0001f600", "x <|endoftext|> y", "line\nbreak\ttab\r\n"]:
