@@ -46,11 +46,31 @@ def test_sketch_is_minimal_hash_of_each_bin(spark):
     assert len(row.s) == 256 and len(want) > 200 and all(row.s[r.b] == r.x & 255 for r in want)
 
 
-def test_next_row_over_ranges(spark):
-    ids = [5, 1, 9, 3, 7, None]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string").repartition(3)
-    got = {r.id: r.n for r in fingerprint.with_next(df, "id", ["t"], {"n": "t"}).collect()}
-    assert got == {None: "t1", 1: "t3", 3: "t5", 5: "t7", 7: "t9", 9: "tNone"}
+@pytest.mark.parametrize("ids", [[5, 1, 9, 3, 7, None], [None] * 40 + [2] * 30 + list(range(20)), [4], list(range(300))])
+def test_next_row_over_ranges(spark, ids):
+    """The chain of next rows visits all rows by (id, hash), whatever ranges they are in."""
+    df = spark.createDataFrame([(i, f"t{i}-{k % 25}") for k, i in enumerate(ids)], "id long, t string").withColumn("h", F.xxhash64("t")).repartition(3)
+    rows = fingerprint.with_marks(fingerprint.ranged(df, "id", "h", "t"), "id", "h").collect()
+    assert sum(not r._mark for r in rows) == len(ids) and sum(r._mark for r in rows) == len({r._range for r in rows if not r._mark})
+    key = lambda r: (r.id is not None, r.id or 0, r.h)
+    plain = sorted((r for r in rows if not r._mark), key=key)
+    assert [r._range for r in plain] == sorted(r._range for r in plain)
+    for a, b in zip(plain, [*plain[1:], plain[0]]):
+        own = sorted((r for r in rows if r._range == a._range), key=lambda r: (r._mark, *key(r)))
+        at = max(k for k, r in enumerate(own) if not r._mark and key(r) == key(a))
+        if key(b) != key(a):
+            assert key(own[at + 1]) == key(b)
+    if ids.count(None) == 40:
+        assert len({r._range for r in plain if r.id is None}) > 5 and len({r._range for r in plain if r.id == 2}) > 5
+
+
+def test_edited_hashes_equal_hashing_anew(spark):
+    texts = ["", "a", "a b c d", "a b c d e", "  a b  c d e f g ", "one two three four five six seven eight nine ten", "x" * 50, "a b c d e f g h"]
+    rows = [(t, t[: len(t) - c], t[: len(t) - c] + o) for t in texts for c in range(len(t) // 4 + 1) for o in ("", "z", " z y", "z y x w v u")]
+    h = lambda c: F.array_sort(F.array_distinct(c))
+    df = spark.createDataFrame(rows, "t string, kept string, edited string")
+    got = df.select("t", "kept", "edited", h(fingerprint.edited_hashes(fingerprint.shingle_hashes(F.col("t")), F.col("kept"), F.col("edited"))).alias("a"), h(fingerprint.shingle_hashes(F.col("edited"))).alias("b"))
+    assert got.filter("a <> b").collect() == []
 
 
 def test_toxicity_on_held_out_rows(spark, tmp_path):
