@@ -3,14 +3,14 @@
 Features are the presence of hashed byte n-grams (sizes ORDERS, ASCII lower-cased, white
 space as one kind). Over all labelled training rows the documents of either label that
 hold a feature are counted; log((p+1)/(P+2)) - log((q+1)/(Q+2)) scales the feature. Logistic
-regression on the scaled features is fitted by gradient descent to at most MAX_FIT of the
-training rows (those with the least hash of their id), over the FEATURES features whose
-counts differ most between the labels.
+regression on all scaled features is fitted (by L-BFGS) to whole texts of at most MAX_FIT of the
+training rows: those with the least hash of id, text and label, whatever the partitions.
 
 Cases: null text is empty and, like one shorter than three bytes, gets the score of no
-feature. Rows with a null label don't train; a document labelled twice trains twice.
+feature. Rows with a null label don't train; a document labelled twice trains twice. Rows that are equal in all of id, text and
+label are in the fitted sample together or not at all, ties at its bound included.
 Without labels of both kinds every score is the smoothed share of label 1. NUL bytes
-part n-grams. An empty table gives an empty result.
+part n-grams. Long texts are read in sections. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import LOWER, SPACE, U, chunks
-from .common import bucket_of_id, durable, table, text_of
+from .bytesops import CHUNK, LOWER, SPACE, U, sections
+from .common import bucket_of_id, discard, durable, table, text_of
 
 ORDERS, HASH_BITS = (3, 4, 5), 18
-FEATURES, MAX_FIT = 1 << 14, 8000
+#: Labelled rows that the regression is fitted to.
+MAX_FIT = 4000
 #: Slices in which count vectors are added up.
 SLICES = 32
 #: Label tables of up to so many rows are joined by broadcast.
@@ -41,27 +42,54 @@ _multiplier = U(0xD6E8FEB86659FD93)
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, row, feature) of chunks of documents: each document's distinct features, of the wanted ones."""
     gap = max(ORDERS)
-    for lo, hi, data, offsets in chunks(column):
-        docs = hi - lo
-        spread = np.zeros(len(data) + gap * docs + gap, np.uint8)
-        begins = offsets[:-1] + gap * np.arange(docs)
-        at = np.arange(len(data)) + gap * np.repeat(np.arange(docs), np.diff(offsets))
-        spread[at] = _fold[data]
-        code, pairs = spread.astype(np.uint64), []
-        for k in range(1, gap):
-            code = code[:-1] | spread[k:].astype(np.uint64) << U(8 * k)
-            if k + 1 not in ORDERS:
+    parts: list[np.ndarray] = []
+    for rows, base, data, offsets in sections(column, CHUNK, gap - 1):
+        lo, hi = int(rows[0]), int(rows[-1]) + 1
+        if base[0] == 0 and parts:  # the long text before is whole
+            pairs = np.unique(np.concatenate(parts))
+            yield lo - 1, lo, pairs // SIZE, pairs % SIZE
+            parts = []
+        pairs = _features(data, offsets, wanted)
+        if len(data) < CHUNK:
+            if base[0] == 0:
+                yield lo, hi, pairs // SIZE, pairs % SIZE
                 continue
-            slot = ((code * _multiplier) >> U(64 - HASH_BITS)).astype(np.int32)
-            ok = (spread[: len(code)] != 0) & (spread[k:] != 0)
-            base = ORDERS.index(k + 1) << HASH_BITS
-            if wanted is not None:
-                ok &= wanted[base : base + (1 << HASH_BITS)][slot]
-            where = np.flatnonzero(ok)
-            doc = np.searchsorted(begins, where, side="right") - 1
-            pairs.append(np.unique(doc * SIZE + base + slot[where]))
-        pairs = np.concatenate(pairs)
-        yield lo, hi, pairs // SIZE, pairs % SIZE
+        elif hi - lo > 1:
+            yield lo, hi, pairs // SIZE, pairs % SIZE
+            continue
+        parts.append(pairs)
+    if parts:
+        pairs = np.unique(np.concatenate(parts))
+        yield len(column) - 1, len(column), pairs // SIZE, pairs % SIZE
+
+
+_last = np.empty(SIZE + 1, np.int32)
+
+
+def _features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """row * SIZE + feature, once for each feature of a row."""
+    gap, docs, size = max(ORDERS), len(offsets) - 1, np.diff(offsets)
+    spread = np.zeros(len(data) + gap * docs + gap, np.uint8)
+    begins = offsets[:-1] + gap * np.arange(docs)
+    spread[np.arange(len(data)) + gap * np.repeat(np.arange(docs), size)] = _fold[data]
+    slots = np.full((len(ORDERS), len(spread)), SIZE, np.int32)  # SIZE is no feature
+    code, whole = spread.astype(np.uint64), spread != 0
+    for k in range(1, gap):
+        code = code[:-1] | spread[k:].astype(np.uint64) << U(8 * k)
+        whole = whole[:-1] & (spread[k:] != 0)
+        if k + 1 not in ORDERS:
+            continue
+        order = ORDERS.index(k + 1)
+        slot = ((code * _multiplier) >> U(64 - HASH_BITS)).astype(np.int32) + np.int32(order << HASH_BITS)
+        slots[order, : len(code)] = np.where(whole if wanted is None else whole & wanted[slot], slot, SIZE)
+    place, out = np.arange(len(ORDERS) * max(size.max(initial=0), 1), dtype=np.int32), []
+    for d in range(docs):
+        mine = slots[:, begins[d] : begins[d] + size[d]].ravel()
+        at = place[: len(mine)]
+        _last[mine] = at  # of equal features the last one stays
+        mine = mine[(_last[mine] == at) & (mine != SIZE)]
+        out.append(mine.astype(np.int64) + d * SIZE)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -99,55 +127,79 @@ def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return total[0], total[1], docs[0], docs[1]
 
 
-def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, size: int, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept of ridge logistic regression over (doc, feature, value) triples, by Adam on all rows."""
-    w, n = np.zeros(size + 1), max(len(label), 1)
-    w[size] = np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5))
-    mean, square = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        z = np.bincount(doc, value * w[feature], minlength=len(label)) + w[size]
-        gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
+def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, size: int, steps: int = 40, ridge: float = 1e-2, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Weights and intercept of ridge logistic regression over (doc, feature, value) triples, by L-BFGS on all rows."""
+    n, rows = max(len(label), 1), len(label)
+    w = np.zeros(size + 1)
+    w[size] = np.log((label.sum() + 0.5) / (rows - label.sum() + 0.5))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.clip(np.bincount(doc, value * w[feature], minlength=rows) + w[size], -30, 30)
+        gap = 1 / (1 + np.exp(-z)) - label
         g = np.append(np.bincount(feature, value * gap[doc], minlength=size) / n + ridge * w[:size], gap.sum() / n)
-        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
-        w -= 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+        return float((np.logaddexp(0, z) - label * z).sum() / n + ridge / 2 * (w[:size] @ w[:size])), g
+
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    now, g = loss(w)
+    for _ in range(steps):
+        step, scales = -g, []
+        for s, y in reversed(past):
+            scales.append((s @ step) / (s @ y))
+            step = step - scales[-1] * y
+        if past:
+            s, y = past[-1]
+            step = step * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(scales)):
+            step = step + (a - (y @ step) / (s @ y)) * s
+        rate = 1.0 if past else 1 / max(1.0, float(np.abs(g).sum()))
+        while rate > 1e-8:
+            new, h = loss(w + rate * step)
+            if new <= now + 1e-4 * rate * (g @ step):
+                break
+            rate /= 4
+        else:
+            break
+        s, y = rate * step, h - g
+        if s @ y > 1e-12:
+            past = [*past[1 - memory :], (s, y)]
+        done = now - new < 1e-7
+        w, now, g = w + s, new, h
+        if done:
+            break
     return w[:size], float(w[size])
 
 
+def least_hashed(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """The rows whose hash of columns is among the least `most` of all; only hashes move. Rows that tie at the bound are all there."""
+    rows = rows.withColumn("_h", F.xxhash64(*columns, F.lit(3)))
+    bound = rows.select("_h").orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
+    return rows.filter(F.col("_h") <= (bound if bound is not None else 0)).drop("_h")
+
+
 def train(rows: DataFrame, max_fit: int = MAX_FIT) -> tuple[np.ndarray, float]:
     """Weight of each hashed feature and the intercept, from rows (doc_id, text, label)."""
     rows = durable(rows, "labelled")
     q, p, q_docs, p_docs = count_features(rows.select("text", "label"))
     if not (q_docs and p_docs):
         return np.zeros(SIZE, np.float32), float(np.log((p_docs + 0.5) / (q_docs + 0.5)))
-    ratio = np.log((p + 1) / (p_docs + 2)) - np.log((q + 1) / (q_docs + 2))
-    expected = (p + q) * p_docs / (p_docs + q_docs)
-    telling = np.where(p + q >= 5, (p - expected) ** 2 / np.maximum(expected, 1e-9), 0)
-    chosen = np.sort(np.argsort(-telling, kind="stable")[:FEATURES])
-    wanted = np.zeros(SIZE, bool)
-    wanted[chosen] = True
-    ship = rows.sparkSession.sparkContext.broadcast(wanted)
+    ratio = (np.log((p + 1) / (p_docs + 2)) - np.log((q + 1) / (q_docs + 2))).astype(np.float32)
 
     def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, row, feature in features(batch.column(0), ship.value):
-                order = np.lexsort((feature, row))
+            for lo, hi, row, feature in features(batch.column(0)):
+                order = np.argsort(row, kind="stable")
                 cuts = np.searchsorted(row[order], np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature[order].astype(np.int32)))], names=["label", "features"])
 
-    n = p_docs + q_docs
-    sample = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(3)))
-    if n > max_fit:  # the share of the hash range that leaves about max_fit rows; limit() below is the bound
-        sample = sample.filter(F.shiftrightunsigned("_h", 1) < int((1 << 63) * min(1.0, max_fit / n)))
-    got = sample.limit(max_fit).select("text", "label").mapInArrow(spot, "label int, features array<int>").toArrow()
-    got = got.combine_chunks()
-    label = got.column("label").to_numpy().astype(float)
-    lists = [np.asarray(x.values if hasattr(x, "values") else x) for x in got.column("features")]
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.searchsorted(chosen, np.concatenate(lists)) if lists else np.empty(0, np.int64)
-    weights, bias = fit_logistic(doc, feature, ratio[chosen][feature], label, len(chosen))
-    out = np.zeros(SIZE, np.float32)
-    out[chosen] = weights * ratio[chosen]
-    return out, bias
+    sample = least_hashed(rows, max_fit, "doc_id", "text", "label").select("text", "label")
+    got = sample.mapInArrow(spot, "label int, features array<int>").toArrow().combine_chunks()
+    lists = got.column("features").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes, feature = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    weights, bias = fit_logistic(doc, feature, ratio[feature], got.column("label").to_numpy().astype(float), SIZE)
+    discard(rows.sparkSession, rows)
+    return (weights * ratio).astype(np.float32), bias
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
