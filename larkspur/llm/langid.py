@@ -1,16 +1,17 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-Two GRU layers, one in each direction, read a text's UTF-8 bytes in segments of SEGMENT
-bytes (the state starts at zero in each; gates are hard sigmoids), label every byte with
-probabilities of the learned languages,
-and a document's probabilities are the mean over all its bytes. Training is
-backpropagation through time in numpy, by Adam, on WINDOWS windows of WINDOW bytes of at
-most MAX_FIT training documents, as many of each language as there are, up to an equal
-share. Weights are a few kilobytes and are broadcast.
+Two GRU layers, one in each direction, read a text's UTF-8 bytes (gates are hard sigmoids), label every byte with
+probabilities of the learned languages, and a document's probabilities are the mean over all its bytes. Texts are read whole, in
+segments of SEGMENT bytes side by side; each layer runs in on the RUN_IN bytes before (or behind) its
+segment, so that its state comes from across the border. Training is
+backpropagation through time in numpy, by Adam, over all windows of WINDOW bytes of the whole texts, EPOCHS times, of at
+most MAX_FIT training documents, an equal share of each language: those with the least hash of id, text and language, whatever
+the partitions. Weights are a few kilobytes and are broadcast.
 
 Cases: a null text or one without a letter is ``und`` with score 0; null languages don't
 train; without training rows every text is ``und``; long texts are read whole, segment
-after segment; repeated rows get equal predictions; an empty table gives an empty result.
+after segment; repeated rows get equal predictions, and are in the training sample together or not at all, ties at its bound
+included; of extra columns ``predict`` carries those it is asked for, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesops import chunks
 from .common import bucket_of_id, table, text_of
 
-HIDDEN, SEGMENT = 8, 128
-#: Training documents, windows cut from each, and bytes of a window.
-MAX_FIT, WINDOWS, WINDOW = 4000, 3, 48
-STEPS, BATCH, RATE = 250, 128, 0.02
+HIDDEN, SEGMENT, RUN_IN = 8, 448, 64
+#: Training documents, and bytes of a window.
+MAX_FIT, WINDOW = 600, 64
+EPOCHS, BATCH, RATE = 2, 128, 0.02
 #: Segments that are run side by side.
 ROWS = 2048
 PAD = 256
@@ -127,15 +128,18 @@ def gradient(w: Weights, codes: np.ndarray, label: np.ndarray) -> tuple[float, W
     return loss, g
 
 
-def fit(windows: list[bytes], label: np.ndarray, classes: int, steps: int = STEPS, seed: int = 5) -> Weights:
+def fit(windows: list[bytes], label: np.ndarray, classes: int, epochs: int = EPOCHS, seed: int = 5) -> Weights:
     codes = np.full((WINDOW, len(windows)), PAD, np.int32)
     for k, x in enumerate(windows):
         codes[: len(x), k] = np.frombuffer(x, np.uint8)
     w = hold_padding(start_weights(classes, seed=seed))
     rng = np.random.default_rng(seed)
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in "ms")
+    picks = max(100, epochs * -(-len(windows) // BATCH)) * BATCH  # small samples are gone over more often
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-picks // len(windows)))])
+    steps = picks // BATCH
     for t in range(1, steps + 1):
-        pick = rng.integers(0, len(windows), BATCH)
+        pick = order[(t - 1) * BATCH : t * BATCH]
         _, g = gradient(w, codes[:, pick], label[pick])
         rate = RATE * (1 - t / (steps + 1)) + 1e-3
         for k in w:
@@ -148,28 +152,23 @@ def fit(windows: list[bytes], label: np.ndarray, classes: int, steps: int = STEP
 
 def train(rows: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], Weights | None]:
     """Languages and weights from rows (doc_id, text, lang)."""
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(counts)
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64("doc_id", "text", "lang", F.lit(11)))
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not langs:
         return [], None
     share = max(1, max_fit // len(langs))
-    bound = F.lit(0)
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, int(min(1.0, share / n) * (1 << 62))).otherwise(bound)
-    order = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 2)
-    chosen = rows.filter(order <= bound).limit(2 * max_fit)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))  # only hashes move; a task sends share of a language at most
+    bounds = rows.select("lang", "_h").withColumn("n", nth).filter(F.col("n") <= share).groupBy("lang").agg(F.max("_h").alias("_most"))
+    chosen = rows.join(F.broadcast(bounds), "lang").filter(F.col("_h") <= F.col("_most"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, names = [], []
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
-                for k in range(WINDOWS):  # at even distances over the whole text
-                    at = k * max(0, len(raw) - WINDOW) // WINDOWS
-                    if k == 0 or len(raw) > WINDOW:
-                        out.append(raw[at : at + WINDOW])
-                        names.append(lang)
+                parts = [raw[at : at + WINDOW] for at in range(0, len(raw), WINDOW)]
+                out += parts
+                names += [lang] * len(parts)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], names=["window", "lang"])
 
     got = chosen.select("text", "lang").mapInArrow(cut, "window binary, lang string").toArrow()
@@ -179,6 +178,24 @@ def train(rows: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], Weights |
     return langs, fit(windows, label, len(langs))
 
 
+def add_up(w: Weights, data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, total: np.ndarray) -> None:
+    """Add to total (row, language) each wanted row's probabilities of all its bytes."""
+    size = np.diff(offsets) * wanted
+    segments = -(-size // SEGMENT)
+    doc = np.repeat(np.arange(len(size)), segments)
+    begin = offsets[:-1][doc] + (np.arange(len(doc)) - (np.cumsum(segments) - segments)[doc]) * SEGMENT
+    end = np.minimum(begin + SEGMENT, offsets[1:][doc])
+    first, last = np.maximum(begin - RUN_IN, offsets[:-1][doc]), np.minimum(end + RUN_IN, offsets[1:][doc])
+    order = np.argsort(last - first, kind="stable")  # segments of one length side by side
+    for a in range(0, len(doc), ROWS):
+        k = order[a : a + ROWS]
+        at = first[k] + np.arange((last - first)[k].max())[:, None]
+        codes = np.where(at < last[k], data[np.minimum(at, len(data) - 1)].astype(np.int32), PAD)
+        p = probabilities(w, codes)
+        p *= (at >= begin[k]) & (at < end[k])
+        np.add.at(total, doc[k], p.sum(1).T.astype(np.float64))
+
+
 def predict(docs: DataFrame, langs: list[str], weights: Weights | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs' columns in keep with the predicted language and its probability, as names."""
     ship = docs.sparkSession.sparkContext.broadcast((langs, weights))
@@ -191,20 +208,7 @@ def predict(docs: DataFrame, langs: list[str], weights: Weights | None, keep: tu
             total = np.zeros((n, max(1, len(known_langs))))
             letters = batch.column(kept + 1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in chunks(batch.column(kept)) if w is not None else ():
-                size = np.diff(offsets) * letters[lo:hi]
-                segments = -(-size // SEGMENT)
-                doc = np.repeat(np.arange(hi - lo), segments)
-                first = np.cumsum(segments) - segments
-                begin = offsets[:-1][doc] + (np.arange(len(doc)) - first[doc]) * SEGMENT
-                end = np.minimum(begin + SEGMENT, offsets[1:][doc])
-                padded = np.concatenate([data, np.zeros(SEGMENT, np.uint8)])
-                for a in range(0, len(doc), ROWS):
-                    b = min(a + ROWS, len(doc))
-                    at = begin[a:b] + np.arange(SEGMENT)[:, None]
-                    codes = np.where(at < end[a:b], padded[np.minimum(at, len(padded) - 1)].astype(np.int32), PAD)
-                    p = probabilities(w, codes)
-                    p *= codes != PAD
-                    np.add.at(total, lo + doc[a:b], p.sum(1).T.astype(np.float64))
+                add_up(w, data, offsets, letters[lo:hi], total[lo:hi])
             sums = total.sum(1)
             known = sums > 0
             best = total.argmax(1)

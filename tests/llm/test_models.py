@@ -121,6 +121,41 @@ def test_gradient_through_time():
         assert (up - down) / 2e-5 == pytest.approx(g[k][i], rel=1e-3, abs=1e-7)
 
 
+def test_segments_add_up_to_the_whole_text():
+    """Against the plain network: whole texts up to a segment exactly, longer ones as their layers run in."""
+    rng = np.random.default_rng(1)
+    w = langid.hold_padding(langid.start_weights(3))
+    sizes = [0, 1, 70, langid.SEGMENT, langid.SEGMENT + 1, 3 * langid.SEGMENT + 17]
+    data = rng.integers(97, 123, sum(sizes), dtype=np.uint8)
+    offsets = np.append(0, np.cumsum(sizes))
+    total = np.zeros((len(sizes), 3))
+    langid.add_up(w, data, offsets, np.array([True] * 5 + [True]), total)
+    for k, n in enumerate(sizes):
+        if n:
+            whole = langid.probabilities(w, data[offsets[k] : offsets[k + 1]].astype(np.int32)[:, None]).sum((1, 2))
+            assert total[k] == pytest.approx(whole, rel=1e-3 if n > langid.SEGMENT else 1e-5)
+    assert total.sum(1) == pytest.approx(np.array(sizes), rel=1e-4)
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(i, f"text {i} {'ab'[i % 2]}", "ab"[i % 2]) for i in range(400)], "doc_id long, text string, lang string")
+    few = [toxicity.least_hashed(rows.repartition(n), 30, "doc_id", "text") for n in (1, 7)]
+    ids = [sorted(r.doc_id for r in x.collect()) for x in few]
+    assert ids[0] == ids[1] and len(ids[0]) == 30
+    (_, a), (_, b) = (langid.train(rows.repartition(n), 20) for n in (1, 7))
+    assert all((a[k] == b[k]).all() for k in a)
+
+
+def test_logistic_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 5))
+    y = (x @ [1.0, -2, 0, 0.5, 0] + rng.normal(size=200) > 0.3).astype(float)
+    doc, feature = np.repeat(np.arange(200), 5), np.tile(np.arange(5), 200)
+    w, b = toxicity.fit_logistic(doc, feature, x.ravel(), y, 5, steps=200, ridge=1e-2)
+    gap = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert np.abs(x.T @ gap / 200 + 1e-2 * w).max() < 1e-3 and abs(gap.mean()) < 1e-3
+
+
 def test_language_id_on_held_out_rows(spark, tmp_path):
     rng = np.random.default_rng(3)
     parts = {"aa": ["th", "ing", "ou", "er"], "bb": ["ção", "ña", "os", "rr"], "cc": ["sch", "ß", "ü", "ein"]}
