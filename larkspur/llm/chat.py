@@ -19,8 +19,8 @@ conversation back is a stream over its turns, so the longest conversation needs
 more memory than its longest turn.
 
 Cases: null text or role is empty; rows go by (turn, role, text), nulls first, and repeated
-rows are turns of their own; a null conv_id is a conversation; an empty table gives an
-empty result.
+rows are turns of their own; a null conv_id is a conversation; long texts are encoded whole; extra columns are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashstore
@@ -80,7 +80,7 @@ def set_hashes(key: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def read_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, h1, h2) of each row."""
+    """(doc_id, n, h1, h2) of each row of docs (doc_id, text, more columns, which are carried)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +88,10 @@ def read_sets(docs: DataFrame, size: int) -> DataFrame:
             for lo, hi, key, cut in shingle_sets(batch.column(1), size):
                 n[lo:hi] = np.diff(cut)
                 a[lo:hi], b[lo:hi] = set_hashes(key, cut)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *batch.columns[2:]], names=["doc_id", "n", "h1", "h2", *more])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    more = docs.columns[2:]
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more))
 
 
 def short_key(key: np.ndarray, fan: int) -> np.ndarray:
@@ -417,11 +418,18 @@ def link_sets(cands: DataFrame, spark: SparkSession, percent: int) -> DataFrame:
     return joined  # components() wrote it
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, shard: int = SHARD, fan: int = hashstore.FAN) -> DataFrame:
-    """id_col, n_shingles and component_id for each row of docs."""
+def text_digest(text: Column) -> Column:
+    """What tells the texts of rows with one id apart."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, shard: int = SHARD, fan: int = hashstore.FAN, with_digest: bool = False) -> DataFrame:
+    """id_col, n_shingles and component_id for each row of docs; with text_digest if asked for."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    sets = durable(read_sets(plain, size), "sets")
+    more = ["text_digest"] if with_digest else []
+    told = plain.withColumn("text_digest", text_digest(F.col("text"))) if with_digest else plain
+    sets = durable(read_sets(told, size), "sets")
     real = sets.filter("n > 0 and doc_id is not null")
     total, shingles = real.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.count("*").alias("copies"))
@@ -443,11 +451,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = sets.join(heavy, ["h1", "h2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     cold = rows.filter(~alone & F.col("hot").isNull()).drop("hot").join(classes.select("h1", "h2", "component_id").hint("merge"), ["h1", "h2"], "left")
-    cold = cold.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    hot = rows.filter(alone | F.col("hot").isNotNull()).select("doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("hot")).alias("component_id"))
+    cold = cold.select("doc_id", "n", *more, F.coalesce("component_id", "doc_id").alias("component_id"))
+    hot = rows.filter(alone | F.col("hot").isNotNull()).select("doc_id", "n", *more, F.when(alone, F.col("doc_id")).otherwise(F.col("hot")).alias("component_id"))
     out = durable(cold.unionByName(hot), "components")
     discard(spark, sets, groups, cands, linked, classes)
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *more)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

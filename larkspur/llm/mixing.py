@@ -14,8 +14,9 @@ spread over SLICES tasks.
 
 Cases: null text has no tokens; a document without tokens is never taken; null
 language or source count as ''. A repeated row is taken as often as it is there. A
-child without a weight in the table gets DEFAULT_WEIGHT, and 0 excludes it. An empty
-table gives an empty result.
+child without a weight in the table gets DEFAULT_WEIGHT, and 0 excludes it. Documents with one id go side by side, and those
+with a null id as one more id. A long text is cut at its leaf's budget like any other; extra columns are not read, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +40,7 @@ SHARE_PERCENT, EPOCHS = 80, 2
 
 def domain_of(source: Column) -> Column:
     """The production rule for a source's domain: its number modulo the domains; 'web' without a number."""
-    number = F.coalesce(F.regexp_extract(source, r"([0-9]{1,9})$", 1), F.lit(""))
-    k = F.when(number == "", 0).otherwise(F.pmod(F.expr("try_cast(regexp_extract(_source, '([0-9]{1,9})$', 1) as int)"), F.lit(len(DOMAINS))))
+    k = F.pmod(F.coalesce(F.regexp_extract(source, r"([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)), F.lit(len(DOMAINS)))
     return F.get(F.array(*[F.lit(x) for x in DOMAINS]), k.cast("int"))
 
 

@@ -8,11 +8,12 @@ pieces of its length: ranks map to (pattern, copy, slot) by a binary search in a
 of the patterns' runs.
 
 Ranks are made without a task that holds a whole length: pieces get a salt from their
-document, ranks run inside (length, salt), and each salt's offset is a prefix sum over
+document, place and ids, ranks run inside (length, salt), and each salt's offset is a prefix sum over
 at most SALTS counts.
 
 Cases: null text is empty, so its document is the end mark alone; repeated rows are
-packed each; a null doc_id is packed like others; an empty table gives an empty result.
+packed each (one id, place and text has one salt); a null doc_id is packed like others; long texts are cut into as many pieces as they need;
+ties between pieces of one length are broken by id, place and ids; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def plan_packs(histogram: dict[int, int], length: int = LENGTH) -> Plan:
 def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     """parts (PIECES, other columns carried) with sequence_id and offset. parts must be read from a table: it is read twice."""
     spark = parts.sparkSession
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = durable(counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))), "salts")

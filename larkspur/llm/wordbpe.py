@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-#: Chunks remembered in a worker before it starts afresh; bounds its memory.
-REMEMBERED = 1_000_000
+#: Bytes of chunks and their ids that a worker remembers before it starts afresh, each counted with the objects' own size.
+REMEMBERED, OBJECT = 256 << 20, 200
 #: Unicode white space, for use inside a character class.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -51,17 +51,22 @@ class WordIds(dict):
         self.pieces = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.table = {i: c for i, c in enumerate(byte_chars())}
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def remember(self, cache: dict, key: str, ids: bytes) -> bytes:
+        self.held += OBJECT + len(key) + len(ids)
+        if self.held > REMEMBERED:
+            self.clear()
+            self.known.clear()
+            self.held = 0
+        cache[key] = ids
+        return ids
 
     def piece(self, piece: str) -> bytes:
         raw = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
-        ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-        return ids
+        return self.remember(self.known, piece, array("I", [t.id for t in self.model.tokenize(raw)]).tobytes())
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         if chunk.isalpha():  # one piece; chunks are normalized already
             parts = [self.piece(chunk)]
         elif chunk[:-1].isalpha() and chunk[-1] in ",.;:!?":
@@ -70,9 +75,7 @@ class WordIds(dict):
         else:
             known = self.known
             parts = [known[p] if p in known else self.piece(p) for p in self.pieces(chunk)]
-        ids = parts[0] if len(parts) == 1 else b"".join(parts)
-        self[chunk] = ids
-        return ids
+        return self.remember(self, chunk, parts[0] if len(parts) == 1 else b"".join(parts))
 
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text and any(s in text for s in self.specials):
