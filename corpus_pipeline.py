@@ -15,7 +15,13 @@ Stages that drop rows join texts with the ids that stay by sort and merge at eve
 4. mix_sources: SHARE_PERCENT of all tokens are taken, by the weights of domains, languages and
    sources, each document once at most. What a source lacks its siblings give. The document at the end of
    a leaf's budget stays whole: take_tokens is not applied to texts.
-5. pack: sequences of at most 4096 tokens.
+5. pack: sequences of at most 4096 tokens, with the pieces' token ids (the mark 2 ends each document).
+
+Cases: null texts, and those without a letter, go in stage 1. Of rows that repeat id and text one stays after stage 2; of rows that
+share an id but not a text each is a document, and stages 3 and 4 decide on ids: stage 3 drops a row only if its own text (by digest) is
+linked to a document with a lesser id; stage 4 takes all rows of an id that it takes. A row with a null id is a document like others, which
+links with nothing in stage 3. Ties in stage 4 are broken by a hash of the id. Extra columns are carried to stage 4, whatever their
+names but those that start with ``_larkspur``; stage 5 returns its own columns. Empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +42,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if weights is None:
         return docs.filter(text_of().rlike(r"\p{L}"))
     kept = tuple(docs.columns)
-    labelled = langid.predict(docs, langs, weights, kept, ("_lang_pred", "_lang_score")).filter("_lang_pred <> 'und'")
-    return labelled.withColumn("lang", F.col("_lang_pred")).select(*kept)
+    labelled = langid.predict(docs, langs, weights, kept, ("_larkspur_lang", "_larkspur_score")).filter("_larkspur_lang <> 'und'")
+    return labelled.withColumn("lang", F.col("_larkspur_lang")).select(*kept)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +51,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = durable(jaccard.jaccard_components(docs), "groups")
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    groups = jaccard.jaccard_components(docs, with_digest=True)
+    gone = durable(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_larkspur_gone"), F.col("text_digest").alias("_larkspur_text")).distinct(), "gone")
+    return docs.join(gone.hint("merge"), (docs["doc_id"] == gone["_larkspur_gone"]) & (jaccard.text_digest(docs["text"]) == gone["_larkspur_text"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs, mixing.WEIGHTS, SHARE_PERCENT, epochs=1).select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
+    taken = mixing.mix(docs, mixing.WEIGHTS, SHARE_PERCENT, epochs=1).select(F.col("doc_id").alias("_larkspur_taken")).distinct()
+    return docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_larkspur_taken"]), "left_semi")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
