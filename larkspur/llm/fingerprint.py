@@ -22,14 +22,16 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytesops import ODD, mix
 from .common import WORD, let, table, text_of, words_of
 
 BINS, BITS, SHINGLE = 256, 8, 5
-#: Attempts by hashing, in several goes; after them the next filled bin in a circle.
-TRIES = (4, 32, 512)
+#: The first attempts look up their bin in a table, which is made by hashing; TRIES more hash on the way, in goes; after them the next filled bin in a circle.
+TABLED, TRIES = 8, (32, 512)
 #: Id ranges that rows are dealt out to for finding the next row: one for RANGE_BYTES of text; beyond MOST of them they grow, and sort with spills.
 RANGE_BYTES, LEAST, MOST = 64 << 20, 64, 1 << 16
 
@@ -89,9 +91,11 @@ def sketch(hashes: Column, bins: int = BINS, bits: int = BITS) -> Column:
         def round_about(b: Column) -> Column:
             return F.get(F.array_compact(F.concat(F.slice(d, b + 1, F.lit(bins)), d)), F.lit(0))
 
-        goes = list(zip((1, *(t + 1 for t in TRIES)), TRIES))
-        return F.transform(d, lambda v, b: F.coalesce(v, *[probe(b, *go) for go in goes], round_about(b)))
+        goes = list(zip((TABLED + 1, *(t + 1 for t in TRIES)), TRIES))
+        return F.transform(d, lambda v, b: F.coalesce(v, *[F.get(d, F.get(table, b)) for table in tables], *[probe(b, *go) for go in goes], round_about(b)))
 
+    attempts = mix(np.arange(bins * TABLED, dtype=np.uint64).reshape(TABLED, bins) + ODD[0]) % np.uint64(bins)
+    tables = [F.split(F.lit(",".join(map(str, row))), ",").cast("array<int>") for row in attempts.tolist()]
     none = F.array().cast("array<int>")
     return let(hashes, lambda h: F.when(F.size(h) == 0, none).otherwise(F.transform(let(let(let(F.sort_array(h), minima), dense), densify), low)))
 

@@ -351,15 +351,17 @@ def pairs_left(rows: DataFrame, percent: int, limit: int | None) -> DataFrame:
     return rows.select(*ROWS).repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "a long, b long, sure boolean, same boolean, cut boolean")
 
 
-def in_parts(rows: DataFrame) -> DataFrame:
+def in_parts(rows: DataFrame, total: int) -> DataFrame:
     """rows of lists that hold several components, with side (0: the list's largest component, whose sets don't meet each other again) and part.
 
     Parts hold LIST rows, about; an (other, main) pair of parts meets once, and so does each pair of other parts.
     """
     shares = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     shares = shares.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    shares = shares.select("token", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / LIST).alias("main_parts"), F.ceil((F.col("all") - F.col("top.c")) / LIST).alias("other_parts"))
-    rows = rows.join(shares, "token").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    shares = durable(shares.select("token", "all", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / LIST).alias("main_parts"), F.ceil((F.col("all") - F.col("top.c")) / LIST).alias("other_parts")), "shares")
+    hot, cold = shares.filter(F.col("all") * HEAVY > total).drop("all"), shares.filter(F.col("all") * HEAVY <= total).drop("all")
+    rows = rows.join(F.broadcast(hot), "token").unionByName(rows.join(F.broadcast(hot.select("token")), "token", "left_anti").join(cold.hint("merge"), "token"))
+    rows = rows.withColumn("side", (F.col("label") != F.col("main")).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, F.col("other_parts")).otherwise(F.col("main_parts"))))
     o, m = F.col("other_parts"), F.col("main_parts")
     with_main = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda k: F.col("own") * m + k)
@@ -389,8 +391,8 @@ def link_sets(cands: DataFrame, spark: SparkSession, percent: int) -> DataFrame:
     # the list's most central set: the least share of shingles that are its own
     pivots = lists.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("own"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p"), F.count("*").alias("long"))
     pivots = durable(pivots.filter("long > 1").select("token", "p.pivot", "p.pivot_n", "long"), "pivots")
-    rows = lists.count()
-    hot = F.broadcast(pivots.filter(F.col("long") * HEAVY > rows))
+    total = lists.count()
+    hot = F.broadcast(pivots.filter(F.col("long") * HEAVY > total))
     cold = lists.join(hot.select("token"), "token", "left_anti").join(pivots.hint("merge"), "token")
     several = durable(lists.join(hot, "token").unionByName(cold), "several")
     near = several.filter((F.col("id") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
@@ -405,7 +407,7 @@ def link_sets(cands: DataFrame, spark: SparkSession, percent: int) -> DataFrame:
     for limit in (LIMIT, None):
         rows = facts.join(joined, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("label"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n"), "bitmap")
         rows = durable(rows, "rows")
-        left = durable(pairs_left(in_parts(rows), percent, limit).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("sure", "same", "cut")]), "left")
+        left = durable(pairs_left(in_parts(rows, total), percent, limit).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("sure", "same", "cut")]), "left")
         open_ = left.filter("not sure")
         found = compared(open_.filter("not same"), cands, percent).filter("linked").select("a", "b").unionByName(derived(open_.filter("same"), known, percent)).unionByName(left.filter("sure").select("a", "b"))
         found = durable(found, "found")
