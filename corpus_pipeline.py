@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup as exact
 from larkspur.llm import jaccard, langid, mixing, packing
-from larkspur.llm.common import durable, text_of
+from larkspur.llm.common import text_of
+from larkspur.sources.shared import durable
 
 #: Share of the remaining tokens that the mix keeps.
 SHARE_PERCENT = 90

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column
@@ -14,7 +15,9 @@ RECURRENCE = ("recurring", "repeat", "repeats", "again", "every ", "habit")
 BOUNDARY = ("boundary", "handoff", "checkpoint", "session", "window")
 CONTINUITY = ("what led", "what changed", "what happened next", "unresolved", "follow up", "follow-up", "same episode")
 
+#: White space as Unicode has it, in Spark and on the driver: U+001C to U+001F are none, which Python's split() takes for some.
 UNICODE_SPACE = r"(?U)\s+"
+WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def ascii_lower_text(s: str) -> str:
@@ -23,7 +26,7 @@ def ascii_lower_text(s: str) -> str:
 
 def query_terms(query: str) -> list[str]:
     """White-space tokens of a query, ASCII lower-case, repeats kept. A query is one literal: its terms are worked out once."""
-    return [ascii_lower_text(t) for t in query.split()]
+    return [ascii_lower_text(t) for t in WHITE_SPACE.split(query) if t]
 
 
 def has_intent(query: str, phrases: tuple[str, ...]) -> bool:

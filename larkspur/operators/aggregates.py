@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, trimmed
-from .filters import live
+from .filters import admin_scope, cold, live
 
-# Unicode lower case and trimming, as the duplicate signature has it.
+# Trimmed texts with ASCII letters in lower case, as the duplicate signature has them.
 SIGNATURE = ("tenant_id", "namespace", "actor_id", "kind", "_content", "_summary")
 
 
@@ -86,12 +86,60 @@ def exported(records: DataFrame, include_archived: bool = False) -> DataFrame:
     return records if include_archived else records.filter(F.col("quality_state") != "Archived")
 
 
-def snapshot_manifest(records: DataFrame) -> DataFrame:
-    return records.agg(F.array_join(F.array_sort(F.collect_set("namespace")), ",").alias("namespaces"), F.count("*").alias("record_count"))
+def snapshot_manifest(records: DataFrame, storage_bytes: int = 0) -> DataFrame:
+    """Distinct namespaces, count, and the bytes of the store's files, as given."""
+    return records.agg(F.array_join(F.array_sort(F.collect_set("namespace")), ",").alias("namespaces"), F.count("*").alias("record_count")).withColumn("storage_bytes", F.lit(storage_bytes).cast("long"))
+
+
+def compaction_counts(records: DataFrame, tenant_id: str, now_ms: int, namespace: str | None = None, summarize_after: int = 50, cold_after_days: int = 0, cold_per_mille: int = 250, dry_run: bool = False) -> DataFrame:
+    """One row: deduplicated, archived and superseded records, summarized clusters and lineage links that a compaction makes.
+
+    Cold records that are superseded as well are counted as archived twice in a dry run, which leaves them live, and superseded records' own
+    links are counted only where they are written.
+    """
+    from .maintenance import clusters
+
+    groups = clusters(records, tenant_id, namespace)
+    big = (F.col("members") >= summarize_after) & F.lit(bool(summarize_after))
+    row = groups.agg(F.count_if(F.col("id") != F.col("first_id")).alias("superseded_records"), F.count_if(big & (F.col("id") == F.col("first_id"))).alias("summarized_clusters"), F.count_if(big).alias("_links"))
+    chilled = records.filter(cold(now_ms, cold_after_days, cold_per_mille) & admin_scope(tenant_id, namespace)).select("id")
+    if not dry_run:
+        chilled = chilled.join(groups.filter("id <> first_id").select("id"), "id", "left_anti")
+    row = row.join(F.broadcast(chilled.agg(F.count("*").alias("_cold"))))  # one row each
+    lost = F.col("superseded_records")
+    return row.select(lost.alias("deduplicated_records"), (lost + F.col("_cold")).alias("archived_records"), lost, "summarized_clusters", (F.col("_links") + (F.lit(0) if dry_run else lost)).alias("lineage_links_created"))
+
+
+def latency_summary(traces: DataFrame, value: str, *keys: str, seconds: float | None = None) -> DataFrame:
+    """Samples, mean, p50, p95 (nearest rank) and max of a measure, and samples a second if the seconds are given.
+
+    Equal values are counted before they are ranked, and ranks are running sums, which spill: no group is gathered into an array.
+    """
+    counted = traces.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*keys).orderBy("_v")
+    ranked = counted.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sums = traces.groupBy(*keys).agg(F.count(value).alias("samples"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    at = lambda p: F.min(F.when(F.col("_upto") > F.round((F.col("samples") - 1) * p), F.col("_v")))
+    ranks = ranked.join(sums.select(*keys, "samples"), list(keys)) if keys else ranked.join(F.broadcast(sums.select("samples")))
+    ranks = ranks.groupBy(*keys).agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    out = sums.join(ranks, list(keys), "left") if keys else sums.join(F.broadcast(ranks))
+    rate = F.lit(None).cast("double") if seconds is None else F.col("samples") / F.lit(float(seconds))
+    return out.select(*keys, "samples", "mean", "p50", "p95", "max", rate.alias("throughput_per_sec"))
+
+
+def planner_metrics(found: DataFrame) -> DataFrame:
+    """One row for recall's candidates: how many the text found, how many the graph added, and the last hop that added any."""
+    hop = F.regexp_extract(F.array_join("relation_reasons", " "), r"graph_hop=(\d+)", 1)
+    return found.agg(
+        F.count_if(F.col("planner_stage") == "CandidateGeneration").alias("seeded_candidates"), F.count_if(F.col("planner_stage") == "GraphExpansion").alias("expanded_candidates"),
+        F.coalesce(F.max(F.when(hop != "", hop.try_cast("int"))), F.lit(0)).alias("hops_applied"),
+    )
 
 
-def latency_summary(traces: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Mean, p50, p95 (nearest rank) and max of a measure."""
-    row = traces.groupBy(*keys).agg(F.avg(value).alias("mean"), F.array_sort(F.collect_list(value)).alias("_all"), F.max(value).alias("max"))
-    at = lambda p: F.get("_all", F.round((F.size("_all") - 1) * p).cast("int"))
-    return row.select(*keys, "mean", at(0.5).alias("p50"), at(0.95).alias("p95"), "max")
+def tenant_load(traces: DataFrame) -> DataFrame:
+    """By tenant: requests under way, and the mean (whole ms) and greatest wait of those that have begun; traces (tenant_id, queue_wait_ms, status; null status: under way)."""
+    begun = F.col("queue_wait_ms").isNotNull()
+    return traces.groupBy("tenant_id").agg(
+        F.count_if(begun & F.col("status").isNull()).alias("inflight"), F.count_if(~begun).alias("queued"),
+        F.coalesce(F.floor(F.avg("queue_wait_ms")), F.lit(0)).cast("long").alias("average_queue_wait_ms"), F.coalesce(F.max("queue_wait_ms"), F.lit(0)).cast("long").alias("max_queue_wait_ms"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import per_mille
+from ..sources.shared import durable
 from .filters import admin_scope, visible_in_graph
 
 # What a relation to the frontier is worth, in the order of reasons.
@@ -48,6 +49,7 @@ def expand(records: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
         order = F.array(*map(F.lit, RELATIONS))
         reasons = F.transform(F.filter(order, lambda k: F.array_contains("kinds", k)), lambda k: F.concat(F.lit("graph_relation="), k))
         step = scored.select("id", F.greatest(F.lit(0.0), bonus).alias("graph"), F.concat(reasons, F.array(F.lit(f"graph_hop={hop}"))).alias("relation_reasons"), F.lit(hop).alias("hop")).filter("graph > 0")
+        step = durable(step, "hop")  # the next hop uses it several times
         out = step if out is None else out.unionByName(step)
         frontier = step.select("id")
         found = found.union(frontier)
@@ -61,6 +63,13 @@ def inspected_nodes(records: DataFrame, max_nodes: int | None = None, tenant_id:
     return shown.orderBy("id").limit(max_nodes) if max_nodes is not None else shown
 
 
+def truncated(records: DataFrame, max_nodes: int | None, **scope) -> DataFrame:
+    """One row: records that an inspection scans, nodes that it shows, and whether more would be shown without max_nodes."""
+    shown = inspected_nodes(records, None, **scope).agg(F.count("*").alias("n"))
+    most = F.lit(max_nodes if max_nodes is not None else (1 << 62))
+    return records.agg(F.count("*").alias("total_records_scanned")).join(F.broadcast(shown)).select("total_records_scanned", F.least("n", most).cast("long").alias("nodes"), (F.col("n") > most).alias("truncated"))
+
+
 def inspected_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst, kind, details) among nodes; edges to episodes are always there. Repeats of (src, dst, kind) are one edge, the first in place."""
     e, k = F.col("episode"), F.col("conflict")

@@ -35,11 +35,24 @@ def _set(records: DataFrame, changed, now_ms: int, **columns) -> DataFrame:
 
 
 def as_of(versions: DataFrame, at_ms: int) -> DataFrame:
-    """Each record's latest version up to at_ms; a tombstone (null record) means it is not there."""
-    latest = versions.filter(F.col("observed_at_ms") <= at_ms).groupBy("record_id").agg(F.max_by("record", "observed_at_ms").alias("record"))
+    """Each record's latest version up to at_ms; a tombstone (null record) means it is not there.
+
+    Of versions of one millisecond the one with the highest version_no counts; without that column, a tombstone does, then the greatest hash.
+    """
+    if "version_no" in versions.columns:
+        order = F.struct("observed_at_ms", "version_no")
+    else:
+        order = F.struct(F.col("observed_at_ms"), F.col("record").isNull().alias("gone"), F.xxhash64(F.to_json("record")).alias("hash"))
+    latest = versions.filter(F.col("observed_at_ms") <= at_ms).groupBy("record_id").agg(F.max_by("record", order).alias("record"))
     return latest.filter("record is not null").select("record.*")
 
 
+def tombstones(versions: DataFrame) -> DataFrame:
+    """record_id of the records whose last version says that they are gone."""
+    last = versions.groupBy("record_id").agg(F.max_by(F.col("record").isNull(), F.struct(F.col("observed_at_ms"), F.col("record").isNull().alias("gone"))).alias("gone"))
+    return last.filter("gone").select("record_id")
+
+
 def changefeed_page(feed: DataFrame, after_sequence: int = 0, tenant_id: str | None = None, namespace: str | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """(events after a sequence number, whether more are left)."""
     limit = max(1, limit)

@@ -27,68 +27,86 @@ def age(now_ms: int, since: str) -> Column:
     return F.greatest(F.lit(now_ms) - F.col(since), F.lit(0))
 
 
+#: Salts in which the newest rows of a namespace are found.
+SALTS = 64
+
+
 def retention_plan(records: DataFrame, policy: Retention, now_ms: int) -> DataFrame:
-    """id and action (delete, archive, archive_over_cap) of records that a rule touches; the cap archives the oldest beyond it.
+    """id, tenant_id, namespace and action (delete, archive, archive_over_cap) of records that a rule touches; the cap archives the oldest beyond it.
 
-    The cap needs an order within a namespace, however large: it is a count from the
-    newest end, done by a window a namespace and only over namespaces above the cap.
+    Ages count from created_at; the cap goes by (updated_at, importance, id). It needs only the last row that stays of a
+    namespace: narrow rows are ranked in salts first, so a task sees SALTS times the cap of them at most.
     """
     spared = (F.col("trust_level") == "Pinned") & F.lit(policy.pinned_exempt)
     gone = F.coalesce(F.col("expires_at_unix_ms") <= now_ms, F.lit(False))
     if policy.ttl_days:
         gone = gone | (age(now_ms, "created_at_unix_ms") > policy.ttl_days * DAY_MS)
-    old = age(now_ms, "updated_at_unix_ms") > policy.archive_after_days * DAY_MS if policy.archive_after_days else F.lit(False)
+    old = age(now_ms, "created_at_unix_ms") > policy.archive_after_days * DAY_MS if policy.archive_after_days else F.lit(False)
     rows = records.select("id", "tenant_id", "namespace", "updated_at_unix_ms", "importance_score", F.when(spared, None).when(gone, "delete").when(live() & old, "archive").alias("action"), (live() & ~spared).alias("counts"))
     acted = rows.filter("action is not null").select("id", "tenant_id", "namespace", "action")
-    counted = rows.filter("counts and action is null")
-    over = counted.groupBy("tenant_id", "namespace").agg(F.count("*").alias("n")).filter(F.col("n") > policy.max_records_per_namespace)
-    oldest = Window.partitionBy("tenant_id", "namespace").orderBy("updated_at_unix_ms", "importance_score", "id")
-    capped = counted.join(over, ["tenant_id", "namespace"]).withColumn("r", F.row_number().over(oldest)).filter(F.col("r") <= F.col("n") - policy.max_records_per_namespace)
-    return acted.unionByName(capped.select("id", "tenant_id", "namespace", F.lit("archive_over_cap").alias("action")))
-
-
-def apply_retention(records: DataFrame, policy: Retention, now_ms: int) -> DataFrame:
-    """The records after retention. Expired ones are dropped; archived ones become Archived and Historical."""
-    plan = retention_plan(records, policy, now_ms).select("id", "action")
+    cap, space = policy.max_records_per_namespace, ["tenant_id", "namespace"]
+    if not cap:
+        return acted
+    place = F.struct("updated_at_unix_ms", "importance_score", "id")
+    counted = rows.filter("counts and action is null").select(*space, place.alias("place"))
+    newest = lambda *more: F.row_number().over(Window.partitionBy(*space, *more).orderBy(F.desc("place")))
+    few = counted.withColumn("_salt", F.pmod(F.xxhash64("place"), F.lit(SALTS))).withColumn("_r", newest("_salt")).filter(F.col("_r") <= cap)
+    edge = few.withColumn("_r", newest()).filter(F.col("_r") == cap).select(*space, F.col("place").alias("edge"))
+    capped = counted.join(edge, space).filter(F.col("place") < F.col("edge"))
+    return acted.unionByName(capped.select("place.id", *space, F.lit("archive_over_cap").alias("action")))
+
+
+def apply_retention(records: DataFrame, policy: Retention, now_ms: int, plan: DataFrame | None = None) -> DataFrame:
+    """The records after retention. Expired ones are dropped; archived ones become Archived and Historical, updated now."""
+    plan = (retention_plan(records, policy, now_ms) if plan is None else plan).select("id", "action")
     rows = records.join(plan, "id", "left").filter("action is null or action <> 'delete'")
     touched = F.col("action").isNotNull()
-    return rows.withColumns({"quality_state": F.when(touched, "Archived").otherwise(F.col("quality_state")), "historical_state": F.when(touched, "Historical").otherwise(F.col("historical_state"))}).drop("action")
+    after = {"quality_state": F.lit("Archived"), "historical_state": F.lit("Historical"), "updated_at_unix_ms": F.lit(now_ms).cast("bigint")}
+    return rows.withColumns({k: F.when(touched, v).otherwise(F.col(k)) for k, v in after.items()}).drop("action").select(*records.columns)
+
+
+def cleaned_mapping(mapping: DataFrame, gone: DataFrame) -> DataFrame:
+    """The idempotency mapping without that of records that are gone (id)."""
+    return mapping.join(gone.select(F.col("id").alias("record_id")), "record_id", "left_anti").select(*mapping.columns)
 
 
 def summary_id(*signature: str) -> Column:
-    return F.concat(F.lit("summary-"), F.substring(F.md5(F.concat_ws("\u001f", *signature).cast("binary")), 1, 16))
+    return F.concat(F.lit("compacted-summary-"), F.substring(F.md5(F.concat_ws("\u001f", *signature).cast("binary")), 1, 16))
 
 
 def clusters(records: DataFrame, tenant_id: str, namespace: str | None = None) -> DataFrame:
-    """Live records in groups of equal signature, two at least: id, place (1 stays), members, summary_id, importance_score.
+    """Live records in groups of equal signature, two at least: id, place, first_id (the one that stays), members, summary_id, importance_score.
 
-    Texts become a digest before anything moves; groups are counted with map-side sums, and only
-    narrow rows of groups with a second member are ranked.
+    Texts become a digest before anything moves; groups are summed up with map-side partial sums, so no task ranks
+    the members of a group. place sorts ascending in a group's order: newest, most important, least id.
     """
     rows = with_signature(records.filter(admin_scope(tenant_id, namespace) & live()))
-    rows = rows.select("id", "updated_at_unix_ms", "importance_score", F.unhex(F.sha2(F.to_json(F.struct(*SIGNATURE)).cast("binary"), 256)).alias("_sig"), summary_id(*SIGNATURE).alias("summary_id"))
-    several = rows.groupBy("_sig").agg(F.count("*").alias("members")).filter("members > 1")
-    newest = Window.partitionBy("_sig").orderBy(F.desc("updated_at_unix_ms"), F.desc("importance_score"), "id")
-    return rows.join(several, "_sig").withColumn("place", F.row_number().over(newest)).drop("_sig", "updated_at_unix_ms")
+    place = F.struct((-F.col("updated_at_unix_ms")).alias("a"), (-F.col("importance_score")).alias("b"), "id")
+    rows = rows.select("id", "importance_score", place.alias("place"), F.unhex(F.sha2(F.to_json(F.struct(*SIGNATURE)).cast("binary"), 256)).alias("_sig"), summary_id(*SIGNATURE).alias("summary_id"))
+    several = rows.groupBy("_sig").agg(F.count("*").alias("members"), F.min("place").alias("_first")).filter("members > 1")
+    return rows.join(several.select("_sig", "members", F.col("_first.id").alias("first_id")), "_sig").drop("_sig")
 
 
 def compaction_plan(records: DataFrame, tenant_id: str, namespace: str | None = None) -> DataFrame:
-    """id, summary_id, place, members and whether the record is superseded."""
-    return clusters(records, tenant_id, namespace).select("id", "summary_id", "place", "members", (F.col("place") > 1).alias("superseded"))
+    """id, summary_id, first_id, members and whether the record is superseded."""
+    return clusters(records, tenant_id, namespace).select("id", "summary_id", "first_id", "members", (F.col("id") != F.col("first_id")).alias("superseded"))
+
+
+# What summaries say, and the keys of their metadata.
+ROLLUP_CONTENT, ROLLUP_SUMMARY = " related records into a durable summary. Representative memory: ", " related records: "
 
 
 def rollups(records: DataFrame, tenant_id: str, now_ms: int, namespace: str | None = None, summarize_after: int = 50) -> DataFrame:
-    """A Summary record for each group of summarize_after members at least; 0 is off."""
+    """A Summary record for each group of summarize_after members at least; 0 is off. It names all its members, so the row grows with its group."""
     if not summarize_after:
         return conform(records.limit(0))
     big = clusters(records, tenant_id, namespace).filter(F.col("members") >= summarize_after)
-    first = big.filter("place = 1").select("id", "summary_id", "members")
-    links = big.groupBy("summary_id").agg(F.max("importance_score").alias("_top"), F.array_sort(F.collect_list(F.struct("place", "id"))).alias("_members"))
-    rows = records.join(first.join(links, "summary_id"), "id")
+    links = big.groupBy("summary_id").agg(F.max("importance_score").alias("_top"), F.min("first_id").alias("id"), F.max("members").alias("members"), F.array_sort(F.collect_list("place")).alias("_members"))
+    rows = records.join(links, "id")
     said = F.when(F.coalesce(trimmed(F.col("summary")), F.lit("")) != "", F.col("summary")).otherwise(F.col("content"))
     labels = F.when(F.array_contains("labels", "compacted"), F.col("labels")).otherwise(F.array_append("labels", F.lit("compacted")))
     return conform(rows.withColumns({
-        "content": F.concat(F.lit("Compacted "), "members", F.lit(" related records into a durable summary. Representative memory: "), said), "_summary_text": F.concat(F.col("members"), F.lit(" related records: "), said),
+        "content": F.concat(F.lit("Compacted "), "members", F.lit(ROLLUP_CONTENT), said), "_summary_text": F.concat(F.col("members"), F.lit(ROLLUP_SUMMARY), said),
         "metadata": F.create_map(F.lit("compaction_reason"), F.lit("duplicate_cluster_rollup"), F.lit("compaction_cluster_size"), F.col("members").cast("string"), F.lit("representative_record_id"), F.col("id")),
         "labels": labels, "kind": F.lit("Summary"), "source_id": F.lit(None), "quality_state": F.when(F.col("quality_state") == "Verified", "Verified").otherwise("Active"), "created_at_unix_ms": F.lit(now_ms), "updated_at_unix_ms": F.lit(now_ms),
         "expires_at_unix_ms": F.lit(None), "importance_score": F.col("_top"), "historical_state": F.lit("Current"),
@@ -116,9 +134,11 @@ def synthesis_groups(records: DataFrame, tenant_id: str, min_records: int = 2, m
     if not tenant_id or min_records <= 0 or max_records < min_records:
         raise ValueError("synthesis needs a tenant, min_records > 0 and max_records >= min_records")
     rows = records.filter(synthesizable(tenant_id, **scope)).withColumns({"_conversation": F.coalesce("conversation_id", F.lit("")), "_session": F.coalesce("session_id", F.lit(""))})
-    newest = Window.partitionBy(*GROUP).orderBy(F.desc("updated_at_unix_ms"), F.desc("importance_score"), "id")
-    sized = rows.withColumn("place", F.row_number().over(newest)).withColumn("members", F.count("*").over(Window.partitionBy(*GROUP)))
-    return sized.filter((F.col("members") >= min_records) & (F.col("place") <= max_records))
+    # narrow rows find each group's first ones; whole records join only those
+    newest = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc("updated_at_unix_ms"), F.desc("importance_score"), "id"))
+    narrow = rows.select(*GROUP, "id", "updated_at_unix_ms", "importance_score").withColumn("place", newest).filter(F.col("place") <= max_records)
+    sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("members")).filter(F.col("members") >= min_records)
+    return rows.join(narrow.join(sizes, list(GROUP)).select("id", "place", "members"), "id")
 
 
 def synthesis_proposals(records: DataFrame, tenant_id: str, reason: str, now_ms: int, min_records: int = 2, max_records: int = 10, max_proposals: int = 0, **scope) -> DataFrame:
@@ -137,7 +157,7 @@ def synthesis_proposals(records: DataFrame, tenant_id: str, reason: str, now_ms:
     proposal = first.withColumns({
         "source_record_ids": ids, "confidence": confidence, "rationale": F.lit("records share tenant, namespace, actor, conversation, session, and source"), "content": content, "summary": content, "_labels": labels,
         "metadata": F.create_map(F.lit("synthesis_reason"), F.lit(reason), F.lit("synthesis_strategy"), F.lit("deterministic_scope_rollup"), F.lit("synthesis_source_count"), n.cast("string"), F.lit("review_state"), F.lit("proposed")),
-        "id": F.concat(F.lit("synthesis-"), F.substring(F.md5(F.array_join(ids, "\u001f").cast("binary")), 1, 16)), "kind": F.lit("Summary"), "trust_level": F.lit("Derived"), "quality_state": F.lit("Draft"), "importance_score": F.col("_top"),
+        "id": F.concat(F.lit("synthesis-proposal-"), F.substring(F.md5(F.array_join(ids, "\u001f").cast("binary")), 1, 16)), "kind": F.lit("Summary"), "trust_level": F.lit("Derived"), "quality_state": F.lit("Draft"), "importance_score": F.col("_top"),
         "created_at_unix_ms": F.lit(now_ms), "updated_at_unix_ms": F.lit(now_ms), "expires_at_unix_ms": F.lit(None).cast("long"), "historical_state": F.lit("Current"), "source_id": F.lit(None).cast("string"),
         "lineage": F.transform(ids, lambda i: F.struct(i.alias("record_id"), F.lit("DerivedFrom").alias("relation"), confidence.alias("confidence"))).cast(LINEAGE),
     }).withColumn("labels", F.col("_labels"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,10 @@ def trace(records: DataFrame, q: Query, e: Engine = Engine()) -> DataFrame:
     )
 
 
+# Notes of an explanation.
+BACKEND_NOTE, BUDGET_NOTE = "initial_spark_backend_scoring", "token_budget_applied"
+
+
 def explain(records: DataFrame, q: Query, e: Engine = Engine()) -> DataFrame:
     """One row for the whole answer: candidates examined, channels present in any of them, policy notes."""
     found = candidates(records, q, e)
@@ -109,35 +114,37 @@ def explain(records: DataFrame, q: Query, e: Engine = Engine()) -> DataFrame:
     row = found.agg(F.count("*").alias("total_candidates_examined"), *present)
     first = ["temporal", "policy"] if q.blank else ["lexical", "policy"]
     more = [F.when(F.col(n), n) for n in ("semantic", "metadata", "episodic", "salience", "curation", "conflict")]
-    notes = ["initial_spark_backend_scoring", f"scorer={e.scorer}", f"scoring_profile={e.scoring}", f"planning_profile={e.planning_for(q)}", f"policy_profile={e.policy}"]
+    notes = [BACKEND_NOTE, f"scorer={e.scorer}", f"scoring_profile={e.scoring}", f"planning_profile={e.planning_for(q)}", f"policy_profile={e.policy}"]
     notes += [e.provider_note] if e.provider_note else []
-    notes += ["token_budget_applied"] if q.token_budget is not None else []
+    notes += [BUDGET_NOTE] if q.token_budget is not None else []
     return row.select("total_candidates_examined", F.array_compact(F.array(*map(F.lit, first), *more)).alias("selected_channels"), F.array(*map(F.lit, notes)).alias("policy_notes"))
 
 
-#: Queries of one batch whose terms are shipped to every task.
-SHIPPED_QUERIES = 10_000
+def recall_many(records: DataFrame, queries: list[tuple[str, Query]], e: Engine = Engine()) -> DataFrame:
+    """Recalls with filters, scorers, semantics and expansion of their own, in one job: query_id and recall()'s columns."""
+    return reduce(DataFrame.unionByName, [recall(records, q, e).withColumn("query_id", F.lit(name)) for name, q in queries])
+
+
+#: Queries whose terms one automaton holds; more of them are gone through in blocks.
+BLOCK = 10_000
 
 
 def recall_batch(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Many plain recalls in one job: queries (query_id, query_text, tenant_id, namespace); lexical and importance scores, top k of each.
 
-    Up to SHIPPED_QUERIES queries become one automaton of all their terms, which finds every term in one pass
+    Queries go through in blocks of BLOCK, by a hash of their id. A block becomes one automaton of all its terms, which finds every term in one pass
     over a text however many there are; each task keeps its own top k of a query, so what is shuffled is k rows a query and
-    task. More queries are joined with the records of their namespace instead.
+    task. A null text asks for nothing; a null importance counts as 0; repeated terms count each time.
     """
-    terms = queries.select("query_id", "tenant_id", "namespace", text.tokens(text.ascii_lower(F.col("query_text"))).alias("terms"))
-    body = records.select("id", "tenant_id", "namespace", "importance_score", text.haystack(F.col("content"), F.col("summary")).alias("hay"))
-    few = terms.limit(SHIPPED_QUERIES + 1).collect()
-    scored = _scored_by_automaton(body, few, k) if len(few) <= SHIPPED_QUERIES else _scored_by_join(body, terms)
+    spark = records.sparkSession
+    terms = queries.filter("query_id is not null").select("query_id", "tenant_id", "namespace", text.tokens(text.ascii_lower(F.coalesce("query_text", F.lit("")))).alias("terms"))
+    body = records.select("id", "tenant_id", "namespace", "importance_score", text.haystack(F.coalesce("content", F.lit("")), F.col("summary")).alias("hay"))
+    blocks = -(-terms.count() // BLOCK)
+    own = F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1)))
+    found = [_scored_by_automaton(body, terms.filter(own == b).collect(), k) for b in range(blocks)]
+    empty = spark.createDataFrame([], "query_id string, id string, lexical double, importance_score double, total double")
     best = Window.partitionBy("query_id").orderBy(F.desc("total"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def _scored_by_join(body: DataFrame, terms: DataFrame) -> DataFrame:
-    both = body.join(terms, ["tenant_id", "namespace"])
-    lexical = F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t)))
-    return both.select("query_id", "id", lexical.cast("double").alias("lexical"), "importance_score").filter("lexical > 0").withColumn("total", F.col("lexical") + F.col("importance_score"))
+    return reduce(DataFrame.unionByName, found, empty).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def _scored_by_automaton(body: DataFrame, queries: list, k: int) -> DataFrame:
@@ -158,14 +165,15 @@ def _scored_by_automaton(body: DataFrame, queries: list, k: int) -> DataFrame:
             machine = ahocorasick.Automaton()
             for n, t in enumerate(uses):
                 machine.add_word(t, n)
-            machine.make_automaton()
+            if uses:
+                machine.make_automaton()
             automata[space] = machine, [np.array(u) for u in uses.values()]
         best: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, object)]  # query, lexical, importance, id
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for rid, tenant, space, importance, hay in zip(*(c.to_pylist() for c in batch.columns)):
                 machine, uses = automata.get((tenant, space), (None, None))
-                found = {n for _, n in machine.iter(hay)} if uses else ()
+                found = {n for _, n in machine.iter(hay)} if uses and hay else ()
                 if not found:
                     continue
                 query, count = np.unique(np.concatenate([uses[n] for n in found]), return_counts=True)

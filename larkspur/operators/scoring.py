@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -61,16 +62,20 @@ class Query:
 
     @property
     def blank(self) -> bool:
-        return not self.text.strip()
+        return not self.terms
 
     @property
     def terms(self) -> list[str]:
         return text.query_terms(self.text)
 
 
+#: A user's own scorer: a query -> columns by name. found says whether the record is a candidate, total is its score; any of PARTS may be there too.
+Scorer = Callable[["Query"], dict[str, Column]]
+
+
 @dataclass(frozen=True)
 class Engine:
-    """How to score and plan. An embedder maps a text column to a vector column; none disables semantic scores."""
+    """How to score and plan. An embedder maps a text column to a vector column; none disables semantic scores. custom takes the place of the scorers."""
 
     scorer: str = "Profile"
     scoring: str = "Balanced"
@@ -79,6 +84,7 @@ class Engine:
     max_hops: int = 1
     embedder: Embedder | None = None
     provider_note: str | None = None
+    custom: Scorer | None = None
 
     def planning_for(self, q: Query) -> str:
         asked = q.filters.episode_id is not None or q.filters.unresolved_only or text.has_intent(q.text, text.CONTINUITY)
@@ -175,6 +181,12 @@ def seeds(records: DataFrame, q: Query, e: Engine) -> DataFrame:
     w_lexical, w_semantic, w_policy = WEIGHTS[e.scorer][e.scoring]
     terms, curated = q.terms, e.scorer == "Curated"
     zero, importance = F.lit(0.0), F.col("importance_score")
+    if e.custom is not None:
+        own = e.custom(q)
+        r = records.filter(own["found"]).withColumn("_delta", provenance(q.scope.source, q.filters.historical_mode, e.policy, e.planning_for(q)))
+        part = lambda k: own.get(k, zero).cast("double")
+        named = {f"_{k}": part("metadata_score" if k == "metadata" else k) for k in ("lexical", "semantic", "temporal", "metadata", "episodic", "salience", "curation", "policy", "total")}
+        return overlaid(r.withColumns(named | {"matched_terms": own.get("matched_terms", F.array().cast("array<string>"))}), q)
     r = records.withColumns({"_salience": salience(), "_episodic": episodic(q, terms), "_curation": curation() if curated else zero, "_delta": provenance(q.scope.source, q.filters.historical_mode, e.policy, e.planning_for(q))})
     policy = F.greatest(zero, importance + F.col("_curation")) if curated else importance
     if q.blank:
@@ -188,6 +200,12 @@ def seeds(records: DataFrame, q: Query, e: Engine) -> DataFrame:
         r = r.filter((F.col("_lexical") > 0) | (F.col("_semantic") > 0)).drop("_hay")
         total = F.col("_lexical") * w_lexical + F.col("_semantic") * w_semantic + F.col("_metadata") * METADATA_WEIGHT[e.scorer] + F.col("_temporal") * 0.2 + F.col("_episodic") * 0.35 + F.col("_salience") * 0.25
         r = r.withColumn("_total", total + F.col("_curation") * 0.5 + F.col("_policy") * w_policy if curated else total + F.col("_policy") * w_policy)
+    return overlaid(r, q)
+
+
+def overlaid(r: DataFrame, q: Query) -> DataFrame:
+    """A scorer's rows with what provenance adds, and where each was found."""
+    zero = F.lit(0.0)
     shifted = F.when(F.col("_delta") != 0, F.greatest(zero, F.col("_policy") + F.col("_delta"))).otherwise(F.col("_policy"))
     sources = [("Lexical", F.size("matched_terms") > 0), ("Semantic", F.col("_semantic") > 0), ("Metadata", F.col("_metadata") > 0), ("Episode", F.col("_episodic") > 0), ("Temporal", F.lit(True) if q.blank else F.col("_temporal") > 0), ("Provenance", F.col("_delta") != 0)]
     parts = {"lexical": "_lexical", "semantic": "_semantic", "temporal": "_temporal", "metadata_score": "_metadata", "episodic": "_episodic", "salience": "_salience", "curation": "_curation"}

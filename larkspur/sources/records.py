@@ -59,10 +59,26 @@ def read_records(spark: SparkSession, path: str, form: str = "parquet") -> DataF
     return conform(reader.format(form).option("multiLine", form == "json").load(path))
 
 
+FILTERS = "struct<episode_id: string, unresolved_only: boolean, temporal_order: string, historical_mode: string, lineage_record_id: string>"
+CASE = f"struct<name: string, scenario: string, query_text: string, relevant_record_ids: array<string>, max_items: int, include_archived: boolean, filters: {FILTERS}>"
+
+
+def camel(c: Column) -> Column:
+    """snake_case -> CamelCase, as enumerations are written here."""
+    return F.replace(F.initcap(F.replace(c, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+
+
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, cases) of a JSON document that holds both as arrays."""
-    whole = spark.read.schema(f"records array<struct<{', '.join(f'{k}: {v}' for k, v in SCHEMA.items())}>>, cases array<struct<name: string, query_text: string, relevant_record_ids: array<string>, max_items: int>>").option("multiLine", True).json(path)
-    return conform(whole.select(F.explode("records").alias("r")).select("r.*")), whole.select(F.explode("cases").alias("c")).select("c.*")
+    """(records with scenario, cases) of a JSON document that holds both as arrays; enumerations may be in snake_case."""
+    fields = ", ".join(f"{k}: {v}" for k, v in SCHEMA.items())
+    whole = spark.read.schema(f"records array<struct<{fields}, scenario: string>>, cases array<{CASE}>").option("multiLine", True).json(path)
+    rows = whole.select(F.explode("records").alias("r")).select("r.*")
+    lower = F.col("kind").rlike("^[a-z]")  # a corpus is written in one way
+    rows = rows.withColumns({c: F.when(lower, camel(F.col(c))).otherwise(F.col(c)) for c in ("kind", "trust_level", "quality_state", "historical_state")})
+    rows = rows.withColumn("lineage", F.transform("lineage", lambda x: x.withField("relation", F.when(x["relation"].rlike("^[a-z]"), camel(x["relation"])).otherwise(x["relation"]))))
+    state = F.col("episode.continuity_state")
+    rows = rows.withColumn("episode", F.when(F.col("episode").isNotNull(), F.col("episode").withField("continuity_state", F.when(state.rlike("^[a-z]"), camel(state)).otherwise(F.coalesce(state, F.lit("Open"))))))
+    return conform(rows, ["scenario"]), whole.select(F.explode("cases").alias("c")).select("c.*")
 
 
 def to_json() -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import pytest
 from larkspur import streaming
 from larkspur.functions import embedding, text
-from larkspur.operators import evaluate, filters, graph, lifecycle, maintenance, recall, requests
+from larkspur.operators import aggregates, evaluate, filters, graph, lifecycle, maintenance, recall, requests
 from larkspur.operators.filters import RecallFilters, Scope
 from larkspur.operators.scoring import Engine, Query
 from larkspur.sources.records import DDL, conform, episode, from_json, read_corpus, to_json, violations
-from larkspur.sources.store import Conflict, Invalid, Store
+from larkspur.sources.store import Conflict, Invalid, NotFound, Store, numbered
 from pyspark.sql import functions as F
 
 NOW = 10 * 86_400_000
@@ -150,7 +150,7 @@ def test_compaction(spark):
     r = records(spark, [{"id": k, "content": c, "updated_at_unix_ms": NOW - i} for i, (k, c) in enumerate([("a", "Same "), ("b", "same"), ("c", "same"), ("d", "other")])])
     out = {x.id: x for x in maintenance.compact(r, "t", NOW + 9, summarize_after=3).collect()}
     assert [out[k].quality_state for k in "abcd"] == ["Active", "Archived", "Archived", "Active"] and out["b"].historical_state == "Superseded"
-    summary = next(x for k, x in out.items() if k.startswith("summary-"))
+    summary = next(x for k, x in out.items() if k.startswith("compacted-summary-"))
     assert [m.record_id for m in summary.lineage] == ["a", "b", "c"] and out["b"].lineage[-1].record_id == summary.id
     assert summary.content.startswith("Compacted 3 related records") and summary.labels == ["compacted"]
 
@@ -161,6 +161,76 @@ def test_retention_cap_spares_the_newest_and_pinned(spark):
     assert plan == {"r4": "archive_over_cap", "r3": "archive_over_cap", "gone": "delete"}
 
 
+def test_retention_goes_by_creation_and_sets_updated_at(spark):
+    day = 86_400_000
+    r = records(spark, [{"id": "old", "created_at_unix_ms": 0, "updated_at_unix_ms": NOW - 1}, {"id": "new", "created_at_unix_ms": NOW - 1, "updated_at_unix_ms": 0}, {"id": "pin", "created_at_unix_ms": 0, "trust_level": "Pinned"}, {"id": "hidden", "created_at_unix_ms": 0, "quality_state": "Suppressed"}])
+    off = maintenance.Retention(archive_after_days=5, max_records_per_namespace=0)
+    assert {x.id: x.action for x in maintenance.retention_plan(r, off, NOW).collect()} == {"old": "archive"}
+    after = {x.id: (x.quality_state, x.historical_state, x.updated_at_unix_ms) for x in maintenance.apply_retention(r, off, NOW + day).collect()}
+    assert after["old"] == ("Archived", "Historical", NOW + day) and after["new"] == ("Active", "Current", 0)
+    both = maintenance.Retention(archive_after_days=5, max_records_per_namespace=1)
+    assert {x.id: x.action for x in maintenance.retention_plan(r, both, NOW).collect()} == {"old": "archive"}
+
+
+def test_retention_cap_on_a_large_namespace(spark):
+    r = records(spark, [{"id": f"r{i:03}", "updated_at_unix_ms": NOW - i % 50, "importance_score": (i % 3) / 3} for i in range(300)] + [{"id": "o", "namespace": "m"}])
+    got = {x.id for x in maintenance.retention_plan(r, maintenance.Retention(max_records_per_namespace=120), NOW).collect()}
+    order = sorted(range(300), key=lambda i: (NOW - i % 50, (i % 3) / 3, f"r{i:03}"))
+    assert got == {f"r{i:03}" for i in order[:180]}
+
+
+def test_compaction_counts(spark):
+    r = records(spark, [{"id": k, "content": c, "importance_score": 0.1, "updated_at_unix_ms": 0} for k, c in (("a", "x"), ("b", "x"), ("c", "x"), ("d", "y"), ("e", "y"), ("f", "z"))])
+    wet = aggregates.compaction_counts(r, "t", NOW, summarize_after=3, cold_after_days=1).first()
+    assert tuple(wet) == (3, 6, 3, 1, 6)  # three superseded, and a, d and f are cold
+    dry = aggregates.compaction_counts(r, "t", NOW, summarize_after=3, cold_after_days=1, dry_run=True).first()
+    assert tuple(dry) == (3, 9, 3, 1, 3)
+
+
+def test_planner_metrics_and_loads(spark):
+    r = records(spark, [{"id": k, "content": "seed" if k == "s" else "x"} for k in "sabcd"], {"a": {"episode_id": "e1", "previous_record_id": "s"}, "b": {"episode_id": "e2", "causal_record_ids": ["a"]}})
+    found = recall.candidates(r, Query("seed", SCOPE, NOW), Engine(planning="ContinuityAware", max_hops=3))
+    assert tuple(aggregates.planner_metrics(found).first()) == (1, 2, 2)
+    traces = spark.createDataFrame([("t", 5, None), ("t", 8, "Ok"), ("t", None, None), ("u", None, None)], "tenant_id string, queue_wait_ms long, status string")
+    assert {x.tenant_id: tuple(x)[1:] for x in aggregates.tenant_load(traces).collect()} == {"t": (1, 1, 6, 8), "u": (0, 1, 0, 0)}
+
+
+def test_latency_summary(spark):
+    t = spark.createDataFrame([("a", float(v)) for v in (5, 1, 1, 9, 3, 3, 3)] + [("b", None), ("c", 2.0)], "k string, v double")
+    got = {x.k: tuple(x)[1:] for x in aggregates.latency_summary(t, "v", "k", seconds=2).collect()}
+    assert got == {"a": (7, pytest.approx(25 / 7), 3.0, 9.0, 9.0, 3.5), "b": (0, None, None, None, None, 0.0), "c": (1, 2.0, 2.0, 2.0, 2.0, 0.5)}
+    assert aggregates.latency_summary(t, "v").first().p50 == 3.0
+
+
+def test_graph_reports_truncation(spark):
+    r = records(spark, [{"id": k} for k in "abc"] + [{"id": "d", "quality_state": "Suppressed"}])
+    assert [tuple(graph.truncated(r, n).first()) for n in (2, 3, None)] == [(4, 2, True), (4, 3, False), (4, 3, False)]
+
+
+def test_a_scorer_of_ones_own(spark):
+    r = records(spark, [{"id": k, "content": k * n} for n, k in enumerate("abc", 1)])
+    engine = Engine(custom=lambda q: {"found": F.length("content") > 1, "total": F.length("content").cast("double"), "lexical": F.lit(2.0)})
+    rows = recall.recall(r, Query("anything", SCOPE, NOW), engine).orderBy("rank").collect()
+    assert [(x.id, x.lexical) for x in rows] == [("c", 2.0), ("b", 2.0)] and rows[0].total == pytest.approx(3 + 0.12 + 0.03 + 0.06)
+
+
+def test_batches_have_one_result_whatever_their_blocks(spark, monkeypatch):
+    r = records(spark, [{"id": "r1", "content": "alpha beta", "importance_score": None}, {"id": "r2", "content": "alpha", "importance_score": 0.5}, {"id": "r3", "content": None}])
+    q = spark.createDataFrame([(f"q{i}", t, "t", "n") for i, t in enumerate(["alpha beta", "beta", None, "", "alpha alpha", "gamma"])], "query_id string, query_text string, tenant_id string, namespace string")
+    rows = lambda: sorted((x.query_id, x.id, x.total, x.rank) for x in recall.recall_batch(r, q, 2).collect())
+    whole = rows()
+    assert whole == [("q0", "r1", 2.0, 1), ("q0", "r2", 1.5, 2), ("q1", "r1", 1.0, 1), ("q4", "r1", 2.0, 2), ("q4", "r2", 2.5, 1)]
+    monkeypatch.setattr(recall, "BLOCK", 2)
+    assert rows() == whole
+
+
+def test_white_space_is_the_same_on_both_sides(spark):
+    t = "a\x1cb \x85c\u2003d\u3000e\tf"
+    both = spark.createDataFrame([(t,)], "t string").select(text.tokens(F.col("t")).alias("x")).first().x
+    assert both == text.query_terms(t) == ["a\x1cb", "c", "d", "e", "f"]
+    assert Query(" \u2003", SCOPE, NOW).blank and not Query("\x1c", SCOPE, NOW).blank
+
+
 def test_synthesis_guards(spark):
     with pytest.raises(ValueError, match="synthesis"):
         maintenance.synthesis_groups(records(spark, [{"id": "x"}]), "t", 3, 2)
@@ -179,9 +249,13 @@ def test_text(spark):
     assert (row[0], row[1], row[2], row[3]) == (3, "x" * 160 + "...", "a b  C", "Àb")
 
 
+def keyed(df):
+    return df.withColumn("idempotency_key", F.concat(F.lit("k"), "id"))
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
-    batch = records(spark, [{"id": "a", "updated_at_unix_ms": 100}, {"id": "b", "updated_at_unix_ms": 100}]).withColumn("idempotency_key", F.concat(F.lit("k"), "id"))
+    batch = keyed(records(spark, [{"id": "a", "updated_at_unix_ms": 100}, {"id": "b", "updated_at_unix_ms": 100}]))
     assert {r.id: r.deduplicated for r in s.upsert(batch, NOW).collect()} == {"a": False, "b": False}
     assert {r.deduplicated for r in s.upsert(batch, NOW).collect()} == {True}
     with pytest.raises(Conflict):
@@ -190,18 +264,22 @@ def test_store(spark, tmp_path):
         s.upsert(batch.withColumn("content", F.lit(" ")), NOW)
     s.upsert(batch.filter("id = 'a'").withColumns({"content": F.lit("v2"), "updated_at_unix_ms": F.lit(200), "idempotency_key": F.lit("k2")}), NOW)
     assert [s.as_of(t).filter("id = 'a'").first().content for t in (150, 250)] == ["text a", "v2"]
+    assert ids(s.recall_as_of(Query("text", SCOPE, NOW), 150), "rank") == ["a", "b"] and ids(s.recall_as_of(Query("v2", SCOPE, NOW), 250)) == ["a"] and ids(s.recall(Query("v2", SCOPE, NOW))) == ["a"]
     assert s.delete("b", "t", "n", "why", NOW, hard=True)["hard"] and not s.delete("b", "t", "n", "why", NOW)["deleted"]
     assert sorted(ids(s.as_of(NOW))) == ["a"] and sorted(ids(s.as_of(150))) == ["a", "b"]
-    with pytest.raises(Invalid):
+    with pytest.raises(Invalid, match="not in this scope"):
         s.archive("a", "t", "other", "why", NOW)
+    with pytest.raises(NotFound):
+        s.archive("zz", "t", "n", "why", NOW)
     events = s.changefeed().orderBy("sequence").collect()
-    assert [(e.sequence, e.kind) for e in events] == [(1, "Upserted"), (2, "Upserted"), (3, "Upserted"), (4, "Deleted")]
+    assert [(e.sequence, e.kind, e.summary, e.record and e.record.content) for e in events] == [(1, "Upserted", "record inserted", "text a"), (2, "Upserted", "record inserted", "text b"), (3, "Upserted", "record replaced", "v2"), (4, "Deleted", "record hard deleted", None)]
     page, more = lifecycle.changefeed_page(s.changefeed(), 1, limit=2)
     assert [e.sequence for e in page.collect()] == [2, 3] and more.first().truncated
     s.export(str(tmp_path / "p"))
     t = Store(spark, str(tmp_path / "t"))
     assert t.import_package(str(tmp_path / "p"), "Validate")["valid"] and t.head() == 0
     assert t.import_package(str(tmp_path / "p"))["applied"] and ids(t.records()) == ["a"]
+    assert tuple(s.snapshot().first())[:2] == ("n", 1) and s.snapshot().first().storage_bytes == s.storage_bytes()
 
     # tailing the feed in small batches equals one read
     query = streaming.tail_changefeed(spark, f"{s.path}/changefeed", s.changefeed().schema, 1, max_files=1).writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "c")).start()
@@ -210,6 +288,77 @@ def test_store(spark, tmp_path):
     assert sorted(r.sequence for r in spark.table("feed").collect()) == [2, 3, 4]
 
 
+def test_store_time_travel_sees_retention_replacing_and_clearing(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), maintenance.Retention(archive_after_days=5, max_records_per_namespace=0))
+    day = 86_400_000
+    s.upsert(keyed(records(spark, [{"id": "gone", "expires_at_unix_ms": NOW + 5, "updated_at_unix_ms": 10}, {"id": "old", "created_at_unix_ms": NOW, "updated_at_unix_ms": 10}, {"id": "far", "namespace": "m", "updated_at_unix_ms": 10}])), NOW)
+    assert sorted(ids(s.as_of(20))) == ["far", "gone", "old"]
+    s.upsert(keyed(records(spark, [{"id": "x", "created_at_unix_ms": NOW + 6 * day, "updated_at_unix_ms": NOW + 6 * day}])), NOW + 6 * day)
+    now = {r.id: r.quality_state for r in s.records().collect()}
+    assert now == {"old": "Archived", "x": "Active", "far": "Active"}  # far's namespace is not the batch's
+    assert {r.id: r.quality_state for r in s.as_of(NOW + 6 * day).collect()} == now and {r.id: r.quality_state for r in s.as_of(NOW + 1).collect()} == {"gone": "Active", "old": "Active", "far": "Active"}
+    assert s.mapping().filter("record_id = 'gone'").isEmpty() and s.mapping().count() == 3
+    kinds = sorted((e.kind, e.record_id) for e in s.changefeed().collect())
+    assert ("RetentionDeleted", "gone") in kinds and ("RetentionArchived", "old") in kinds and len(kinds) == 6
+    assert ids(s.get("far", "t", "m")) == ["far"] and ids(s.get("far", "t", "n")) == []
+
+    other = Store(spark, str(tmp_path / "o"))
+    other.upsert(keyed(records(spark, [{"id": "new"}, {"id": "old"}])), NOW)
+    assert other.ship(s, str(tmp_path / "ship"), now_ms=NOW + 7 * day)["applied"]
+    assert sorted(ids(s.records())) == sorted(ids(s.as_of(NOW + 7 * day))) == ["new", "old"] and sorted(ids(s.as_of(NOW + 6 * day))) == ["far", "old", "x"]
+    assert s.clear("why", NOW + 8 * day) == 2 and ids(s.records()) == ids(s.as_of(NOW + 8 * day)) == [] and s.mapping().isEmpty()
+
+
+def test_versions_of_one_millisecond(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    for v in ("one", "two", "three"):
+        s.upsert(records(spark, [{"id": "a", "content": v, "updated_at_unix_ms": 100}]).withColumn("idempotency_key", F.lit(v)), NOW)
+    assert [r.content for r in s.as_of(100).collect()] == ["three"]
+    v = spark.createDataFrame([("a", 5, ("x",)), ("a", 5, None), ("b", 5, ("y",)), ("b", 5, ("z",))], "record_id string, observed_at_ms long, record struct<content: string>")
+    assert {r.content for r in lifecycle.as_of(v, 5).collect()} <= {"y", "z"} and [r.record_id for r in lifecycle.tombstones(v).collect()] == ["a"]
+    assert lifecycle.as_of(v.repartition(5), 5).collect() == lifecycle.as_of(v.coalesce(1), 5).collect()
+
+
+def test_a_writer_that_loses_leaves_nothing_to_read(spark, tmp_path):
+    s, late = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    s.upsert(keyed(records(spark, [{"id": "a"}])), NOW)
+    head = late.manifest()
+    s.upsert(keyed(records(spark, [{"id": "b"}])), NOW)
+    late.manifest = lambda: head  # it has prepared the same number
+    with pytest.raises(Exception, match="(?i)exist"):
+        late.upsert(keyed(records(spark, [{"id": "c"}])), NOW)
+    assert sorted(ids(s.records())) == ["a", "b"] and sorted(e.record_id for e in s.changefeed().collect()) == ["a", "b"] and sorted(ids(s.as_of(NOW))) == ["a", "b"]
+    s.upsert(keyed(records(spark, [{"id": "d"}])), NOW)
+    assert [e.sequence for e in s.changefeed().orderBy("sequence").collect()] == [1, 2, 3]
+
+
+def test_commits_write_only_what_they_touch(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert(keyed(records(spark, [{"id": "a"}, {"id": "b", "namespace": "m/ö"}])), NOW)
+    before = s.manifest()["records"]
+    s.archive("b", "t", "m/ö", "why", NOW + 1)
+    after = s.manifest()["records"]
+    assert len(after) == 2 and sum(after[k] != before[k] for k in after) == 1
+    assert {r.id: r.quality_state for r in s.records().collect()} == {"a": "Active", "b": "Archived"}
+    moved = keyed(records(spark, [{"id": "a", "namespace": "m/ö"}])).withColumn("idempotency_key", F.lit("again"))
+    s.upsert(moved, NOW + 2)
+    assert {r.id: r.namespace for r in s.records().collect()} == {"a": "m/ö", "b": "m/ö"} and len(s.manifest()["records"]) == 1
+
+
+def test_schedule(spark, tmp_path):
+    s, slept = Store(spark, str(tmp_path / "s")), []
+    s.upsert(keyed(records(spark, [{"id": "a"}])), NOW)
+    reports = s.run_schedule("why", 60, runs=2, sleep=slept.append, clock=lambda: NOW / 1000, tenant_id="t")
+    assert slept == [60] and [r["integrity_after"]["healthy"] for r in reports] == [True, True]
+    assert "error" in s.run_schedule("", runs=1, sleep=slept.append, dry_run=False, tenant_id=5)[0]
+
+
+def test_numbering_by_ranges(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).cast("string").alias("id")).repartition(6)
+    got = numbered(rows, ["id"]).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r._n)] == sorted(str(i) for i in range(500)) and {r._n for r in got} == set(range(1, 501))
+
+
 def test_streaming_windows_equal_batch(spark, tmp_path):
     rows = spark.range(200).select(F.timestamp_seconds(F.col("id") * 97).alias("ts"), (F.col("id") % 3).alias("k"))
     rows.write.parquet(str(tmp_path / "e"))
