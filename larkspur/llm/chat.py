@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from ..sources.shared import durable
+from .common import table
 
 OPEN_TEXT, COLON_TEXT, CLOSE_TEXT = "### ", ": ", "</turn>\n"
 #: What must not occur unescaped inside a segment.

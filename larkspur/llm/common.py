@@ -1,10 +1,7 @@
-"""Things the training-data operators share: tables, the shared folder, and small SQL idioms."""
+"""Things the training-data operators share: tables and small SQL idioms."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,59 +9,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_roots: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _file_system(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder, as a URI, in spark.checkpoint.dir, which driver and executors share; it goes when the driver's JVM ends.
-
-    Where the setting is missing, a local master (tests) gets a temporary folder; a cluster is an error.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="larkspur-")
-        fs, path = _file_system(spark, f"{base.rstrip('/')}/larkspur-{app}")
-        path = fs.makeQualified(path)
-        fs.deleteOnExit(path)
-        _roots[app] = path.toString()
-    return _roots[app]
-
-
-def fresh(spark: SparkSession, tag: str) -> str:
-    """A URI under the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later stages don't depend on any executor's disk."""
-    spark = df.sparkSession
-    path = fresh(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._larkspur_path = path
-    return out
-
-
-def discard(spark: SparkSession, *used: str | DataFrame) -> None:
-    """Remove folders, or what durable() wrote, when nothing that is still to run reads them."""
-    for x in used:
-        fs, path = _file_system(spark, x if isinstance(x, str) else x._larkspur_path)
-        fs.delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once, also where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

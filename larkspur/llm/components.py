@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from ..sources.shared import discard, durable
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, durable, let, table, text_of
+from ..sources.shared import discard, durable
+from .common import let, table, text_of
 
 #: Runs (a power of two), and entries of a bucket, about.
 RUNS, BUCKET = 64, 1024

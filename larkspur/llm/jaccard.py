@@ -40,9 +40,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, durable, fresh
 from . import hashstore
 from .bytesops import ODD, U, chunks, distinct_runs, mix, words
-from .common import discard, durable, fresh, table, text_of
+from .common import table, text_of
 from .components import components
 from .hashstore import by_shard, cuts_of
 

@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, durable, fresh
 from . import hashstore
 from .bytesops import ODD, U, chunks, mix, words
-from .common import bucket_of_id, discard, durable, fresh, table, text_of
+from .common import bucket_of_id, table, text_of
 from .hashstore import by_shard, cuts_of
 
 #: Bytes of text that are counted together; bigrams in a shard, about; bytes of a word's hash in a bigram.

@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, table, text_of
+from ..sources.shared import durable
+from .common import WORD, table, text_of
 
 LEVELS = ("domain", "lang", "source")
 #: Slices of a leaf's order: 16 ** DIGITS.

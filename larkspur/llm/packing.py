@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table, text_of
+from ..sources.shared import durable
+from .common import table, text_of
 from .wordbpe import WordIds
 
 LENGTH, END_ID, SALTS = 4096, 2, 4096

@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, durable, fresh
 from . import hashstore
 from .bytesops import BYTE_2, ODD, U, mix, powers, prefix_hash, sections, string_views, window_hash
-from .common import discard, durable, fresh, table, text_of
+from .common import table, text_of
 from .hashstore import by_shard, cuts_of
 from .kneser_ney import long, short
 

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, durable
 from .bytesops import CHUNK, LOWER, SPACE, U, sections
-from .common import bucket_of_id, discard, durable, table, text_of
+from .common import bucket_of_id, table, text_of
 
 ORDERS, HASH_BITS = (3, 4, 5), 18
 #: Labelled rows that the regression is fitted to.
