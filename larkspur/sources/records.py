@@ -139,7 +139,7 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("source"), F.array(F.lit("chat"), F.col("role")).alias("labels"),
         F.when(F.col("role") == "system", "Verified").when(F.col("role") == "user", "Observed").otherwise("Derived").alias("trust_level"),
         F.lit("Episodic").alias("kind"), F.coalesce("text", F.lit("")).alias("content"), F.when(turn % 7 == 6, "Draft").when((conv % 17 == 3) & (turn == 1), "Archived").otherwise("Active").alias("quality_state"),
-        at.alias("created_at_unix_ms"), at.alias("updated_at_unix_ms"), F.when(conv % 13 == 0, at + 10 * HOUR_MS).alias("expires_at_unix_ms"), ((turn % 5) / 5).alias("importance_score"),
+        (at - conv % 5 * 12 * HOUR_MS).alias("created_at_unix_ms"), at.alias("updated_at_unix_ms"), F.when(conv % 13 == 0, at + 10 * HOUR_MS).alias("expires_at_unix_ms"), ((turn % 5) / 5).alias("importance_score"),
         ep.alias("episode"), F.when((conv % 11 == 0) & (turn == 1), "Superseded").when((conv % 7 == 0) & (turn == 2), "Historical").otherwise("Current").alias("historical_state"),
         F.when(turn == 1, F.array(F.struct(rid(F.lit(0)).alias("record_id"), F.lit("DerivedFrom").alias("relation"), F.lit(0.8).alias("confidence")))).otherwise(F.array().cast(LINEAGE)).alias("lineage"),
         F.when(turn == 2, clash).cast(CONFLICT).alias("conflict"),
