@@ -28,7 +28,7 @@ from .common import bucket_of_id, table, text_of
 
 ORDERS, HASH_BITS = (3, 4, 5), 18
 #: Labelled rows that the regression is fitted to.
-MAX_FIT = 4000
+MAX_FIT = 2500
 #: Slices in which count vectors are added up.
 SLICES = 32
 #: Label tables of up to so many rows are joined by broadcast.
@@ -128,9 +128,11 @@ def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return total[0], total[1], docs[0], docs[1]
 
 
-def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, size: int, steps: int = 40, ridge: float = 1e-2, memory: int = 8) -> tuple[np.ndarray, float]:
+def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, size: int, steps: int = 40, ridge: float = 1e-2, memory: int = 5) -> tuple[np.ndarray, float]:
     """Weights and intercept of ridge logistic regression over (doc, feature, value) triples, by L-BFGS on all rows."""
     n, rows = max(len(label), 1), len(label)
+    used, feature = np.unique(feature, return_inverse=True)  # weights that no row tells stay 0
+    whole, size, doc = size, len(used), doc.astype(np.intp)
     w = np.zeros(size + 1)
     w[size] = np.log((label.sum() + 0.5) / (rows - label.sum() + 0.5))
 
@@ -167,7 +169,9 @@ def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label:
         w, now, g = w + s, new, h
         if done:
             break
-    return w[:size], float(w[size])
+    out = np.zeros(whole)
+    out[used] = w[:size]
+    return out, float(w[size])
 
 
 def least_hashed(rows: DataFrame, most: int, *columns: str) -> DataFrame:
@@ -197,8 +201,9 @@ def train(rows: DataFrame, max_fit: int = MAX_FIT) -> tuple[np.ndarray, float]:
     lists = got.column("features").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes, feature = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    weights, bias = fit_logistic(doc, feature, ratio[feature], got.column("label").to_numpy().astype(float), SIZE)
+    doc, label = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), got.column("label").to_numpy().astype(float)
+    del got, lists, p, q
+    weights, bias = fit_logistic(doc, feature, ratio[feature], label, SIZE)
     discard(rows.sparkSession, rows)
     return (weights * ratio).astype(np.float32), bias
 
