@@ -53,7 +53,7 @@ SHARD = 1 << 20
 #: Bytes of text whose shingles a task counts together before it sends them.
 FLUSH = 24 << 20
 #: Rows of an index list that are handled together, and in a block of it; pairs of two components in a first round.
-LIST, BLOCK, LIMIT = 1000, 50, 16
+LIST, BLOCK, LIMIT = 500, 50, 16
 #: Groups of equal sets, and lists, with more than 1/HEAVY of all rows are joined by broadcast; there are fewer than HEAVY of them.
 HEAVY = 2000
 #: Bytes of a shingle hash that are sent besides the first bits, which its range gives; parity bits of a set.
@@ -113,7 +113,7 @@ def _unpack(raw: bytes, fan: int) -> np.ndarray:
     return out.view("<u8").ravel() << U(64 - fan - 8 * SENT)
 
 
-def unseen(seen: set, names: list, most: int = 1 << 20) -> np.ndarray:
+def unseen(seen: set, names: list, most: int = 1 << 18) -> np.ndarray:
     """Which names a task meets for the first time; what it remembers is bounded, so some may come again."""
     out = np.zeros(len(names), bool)
     for i, h in enumerate(names):
@@ -245,8 +245,8 @@ def compared(pairs: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             overlap, linked, more, less = [], [], [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.sort(_longs(x)), np.sort(_longs(y))
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.sort(_longs(x.as_py())), np.sort(_longs(y.as_py()))
                 more.append(np.setdiff1d(x, y, True))
                 less.append(np.setdiff1d(y, x, True))
                 overlap.append(len(x) - len(more[-1]))
