@@ -31,7 +31,7 @@ HIDDEN, SEGMENT, RUN_IN = 8, 448, 64
 MAX_FIT, WINDOW = 600, 64
 EPOCHS, BATCH, RATE = 2, 128, 0.02
 #: Segments that are run side by side.
-ROWS = 2048
+ROWS = 512
 PAD = 256
 
 Weights = dict[str, np.ndarray]
