@@ -17,7 +17,8 @@ CONTINUITY = ("what led", "what changed", "what happened next", "unresolved", "f
 
 #: White space as Unicode has it, in Spark and on the driver: U+001C to U+001F are none, which Python's split() takes for some.
 UNICODE_SPACE = r"(?U)\s+"
-WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WHITE_SPACE = re.compile(f"[{SPACES}]+")
 
 
 def ascii_lower_text(s: str) -> str:
@@ -50,7 +51,7 @@ def approximate_tokens(content: Column, summary: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at both ends, line feeds included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def haystack(content: Column, summary: Column) -> Column:

@@ -70,7 +70,7 @@ def cleaned_mapping(mapping: DataFrame, gone: DataFrame) -> DataFrame:
     return mapping.join(gone.select(F.col("id").alias("record_id")), "record_id", "left_anti").select(*mapping.columns)
 
 
-def summary_id(*signature: str) -> Column:
+def summary_id(*signature: str | Column) -> Column:
     return F.concat(F.lit("compacted-summary-"), F.substring(F.md5(F.concat_ws("\u001f", *signature).cast("binary")), 1, 16))
 
 
@@ -82,7 +82,9 @@ def clusters(records: DataFrame, tenant_id: str, namespace: str | None = None) -
     """
     rows = with_signature(records.filter(admin_scope(tenant_id, namespace) & live()))
     place = F.struct((-F.col("updated_at_unix_ms")).alias("a"), (-F.col("importance_score")).alias("b"), "id")
-    rows = rows.select("id", "importance_score", place.alias("place"), F.unhex(F.sha2(F.to_json(F.struct(*SIGNATURE)).cast("binary"), 256)).alias("_sig"), summary_id(*SIGNATURE).alias("summary_id"))
+    # both digests are taken from one signature, which is worked out once
+    digests = F.transform(F.array(F.struct(*SIGNATURE)), lambda s: F.struct(F.unhex(F.sha2(F.to_json(s).cast("binary"), 256)).alias("sig"), summary_id(*[s[c] for c in SIGNATURE]).alias("summary_id")))[0]
+    rows = rows.select("id", "importance_score", place.alias("place"), digests.alias("_d")).select("id", "importance_score", "place", F.col("_d.sig").alias("_sig"), F.col("_d.summary_id").alias("summary_id"))
     several = rows.groupBy("_sig").agg(F.count("*").alias("members"), F.min("place").alias("_first")).filter("members > 1")
     return rows.join(several.select("_sig", "members", F.col("_first.id").alias("first_id")), "_sig").drop("_sig")
 
