@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return to the system what a worker has freed; workers are used again by later steps."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def string_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without nulls, and its n + 1 offsets into them."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
@@ -64,6 +75,7 @@ def string_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows with about limit bytes."""
+    give_back()
     data, offsets = string_views(column)
     n, lo = len(column), 0
     while lo < n:

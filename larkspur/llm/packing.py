@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import durable
+from .bytesops import give_back
 from .common import table, text_of
 from .wordbpe import WordIds
 
 LENGTH, END_ID, SALTS = 4096, 2, 4096
+#: Ids that a worker holds before it hands them on.
+SENT = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -49,17 +52,31 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     fields += [pa.field("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = WordIds(tokenizer)
+        out: list[list] = [[] for _ in fields]
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields)], schema=pa.schema(fields))
+            for column in out:
+                column.clear()
+            return done
+
         for batch in batches:
-            out: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(words.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+            held = 0
+            for k in range(len(batch)):
+                doc, ids = batch.column(0)[k].as_py(), np.append(words.encode(batch.column(1)[k].as_py()), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), length):
                     part = ids[start : start + length]
                     row = (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32))
                     for column, value in zip(out, row):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields)], schema=pa.schema(fields))
+                held += len(ids)
+                if held > SENT:
+                    yield flush()
+                    held = 0
+            yield flush()
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))

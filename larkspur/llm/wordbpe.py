@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Bytes of chunks and their ids that a worker remembers before it starts afresh, each counted with the objects' own size.
-REMEMBERED, OBJECT = 256 << 20, 200
+REMEMBERED, OBJECT = 64 << 20, 200
 #: Unicode white space, for use inside a character class.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
