@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import discard, durable, fresh
 from . import hashstore
 from .bytesops import ODD, U, chunks, distinct_runs, mix, words
-from .common import table, text_of
+from .common import small_batches, table, text_of
 from .components import components
 from .hashstore import by_shard, cuts_of
 
@@ -429,6 +429,7 @@ def text_digest(text: Column) -> Column:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, shard: int = SHARD, fan: int = hashstore.FAN, with_digest: bool = False) -> DataFrame:
     """id_col, n_shingles and component_id for each row of docs; with text_digest if asked for."""
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
     more = ["text_digest"] if with_digest else []
     told = plain.withColumn("text_digest", text_digest(F.col("text"))) if with_digest else plain

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesops import chunks
-from .common import bucket_of_id, table, text_of
+from .common import bucket_of_id, small_batches, table, text_of
 
 HIDDEN, SEGMENT, RUN_IN = 8, 448, 64
 #: Training documents, and bytes of a window.
@@ -152,6 +152,7 @@ def fit(windows: list[bytes], label: np.ndarray, classes: int, epochs: int = EPO
 
 def train(rows: DataFrame, max_fit: int = MAX_FIT) -> tuple[list[str], Weights | None]:
     """Languages and weights from rows (doc_id, text, lang)."""
+    small_batches(rows.sparkSession)
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64("doc_id", "text", "lang", F.lit(11)))
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not langs:
@@ -198,6 +199,7 @@ def add_up(w: Weights, data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray
 
 def predict(docs: DataFrame, langs: list[str], weights: Weights | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs' columns in keep with the predicted language and its probability, as names."""
+    small_batches(docs.sparkSession)
     ship = docs.sparkSession.sparkContext.broadcast((langs, weights))
     kept = len(keep)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import durable
 from .bytesops import give_back
-from .common import table, text_of
+from .common import small_batches, table, text_of
 from .wordbpe import WordIds
 
 LENGTH, END_ID, SALTS = 4096, 2, 4096
@@ -48,6 +48,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of each document's ids and end mark, with the ids themselves if asked for."""
+    small_batches(docs.sparkSession)
     fields = [pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
     fields += [pa.field("ids", pa.list_(pa.int32()))] if with_ids else []
 
