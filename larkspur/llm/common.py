@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of an Arrow batch where the session sets no bound: Spark's own 64 MB stand several times in each worker and its executor.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by BATCH_BYTES, unless it has a bound of its own; a longer row is a batch by itself."""
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(bound, None) is None:
-        spark.conf.set(bound, str(BATCH_BYTES))
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
