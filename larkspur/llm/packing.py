@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import durable
-from .bytesops import give_back
+from .bytesops import chunks, give_back
 from .common import table, text_of
-from .wordbpe import WordIds
+from .wordbpe import BLOCK, WordIds
 
 LENGTH, END_ID, SALTS = 4096, 2, 4096
 #: Ids that a worker holds before it hands them on.
@@ -64,17 +64,18 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
         for batch in batches:
             held = 0
-            for k in range(len(batch)):
-                doc, ids = batch.column(0)[k].as_py(), np.append(words.encode(batch.column(1)[k].as_py()), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), length):
-                    part = ids[start : start + length]
-                    row = (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32))
-                    for column, value in zip(out, row):
-                        column.append(value)
-                held += len(ids)
-                if held > SENT:
-                    yield flush()
-                    held = 0
+            for lo, hi, *_ in chunks(batch.column(1), BLOCK):
+                for doc, ids in zip(batch.column(0)[lo:hi].to_pylist(), words.encode_block(batch.column(1)[lo:hi].to_pylist())):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for start in range(0, len(ids), length):
+                        part = ids[start : start + length]
+                        row = (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32))
+                        for column, value in zip(out, row):
+                            column.append(value)
+                    held += len(ids)
+                    if held > SENT:
+                        yield flush()
+                        held = 0
             yield flush()
             give_back()
 

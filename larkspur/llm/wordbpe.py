@@ -1,21 +1,27 @@
 """Fast ids for a word-level BPE tokenizer file (lower case, white space dropped, byte-level words).
 
-Such a tokenizer never merges across white space, so each chunk between spaces is
-tokenized by itself and remembered; the tokenizer's own normalizer, pattern and model
-do the work for chunks not seen before. Ids equal ``Tokenizer.encode(text,
-add_special_tokens=False).ids``.
+Such a tokenizer never merges across white space, so a block of texts is cut at spaces,
+its distinct chunks are cut into distinct pieces, and the tokenizer's own model sees each
+piece that the block before didn't have, once; ids are put together by Arrow. Ids equal
+``Tokenizer.encode(text, add_special_tokens=False).ids``.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Bytes of chunks and their ids that a worker remembers before it starts afresh, each counted with the objects' own size.
-REMEMBERED, OBJECT = 64 << 20, 200
+#: Bytes of text that share their chunks; a worker remembers the pieces of one block.
+BLOCK = 8 << 20
+#: Where texts are cut; other white space is left to the pieces.
+SPACES = re.compile(r"[ \n\t\r]")
 #: Unicode white space, for use inside a character class.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -32,58 +38,91 @@ def byte_chars() -> list[str]:
     return out
 
 
-class WordIds(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes."""
+class WordIds:
+    """Ids of texts, by blocks; the pieces of the last block are remembered."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.specials = [x["content"] for x in spec["added_tokens"]]
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        pattern = next(p["pattern"]["Regex"] for p in spec["pretokenizers"] if p["type"] == "Split")
         # \s would also match the separators U+001C to U+001F, which aren't Unicode white space
         self.pieces = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.table = {i: c for i, c in enumerate(byte_chars())}
         self.known: dict[str, bytes] = {}
-        self.held = 0
 
-    def remember(self, cache: dict, key: str, ids: bytes) -> bytes:
-        self.held += OBJECT + len(key) + len(ids)
-        if self.held > REMEMBERED:
-            self.clear()
-            self.known.clear()
-            self.held = 0
-        cache[key] = ids
-        return ids
+    def normal(self, text: str) -> str:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.tokenizer.normalizer.normalize_str(text)
+        return text.lower()  # composed already, and each letter has one lower case
 
     def piece(self, piece: str) -> bytes:
         raw = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
-        return self.remember(self.known, piece, array("I", [t.id for t in self.model.tokenize(raw)]).tobytes())
-
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk.isalpha():  # one piece; chunks are normalized already
-            parts = [self.piece(chunk)]
-        elif chunk[:-1].isalpha() and chunk[-1] in ",.;:!?":
-            known, word, mark = self.known, chunk[:-1], chunk[-1]
-            parts = [known[word] if word in known else self.piece(word), known[mark] if mark in known else self.piece(mark)]
-        else:
-            known = self.known
-            parts = [known[p] if p in known else self.piece(p) for p in self.pieces(chunk)]
-        return self.remember(self, chunk, parts[0] if len(parts) == 1 else b"".join(parts))
+        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+
+    def chunk_ids(self, chunks: list[str]) -> pa.LargeListArray:
+        """The ids of each of some distinct chunks."""
+        known, seen, out = self.known, {}, []
+        for chunk in chunks:
+            if chunk.isalpha():  # one piece; chunks are normalized already
+                parts = (chunk,)
+            elif (word := chunk[:-1]).isalpha() and chunk[-1] in ",.;:!?":
+                parts = (word, chunk[-1])
+            else:
+                parts = self.pieces(chunk)
+            for p in parts:
+                if p not in seen:
+                    seen[p] = known[p] if p in known else self.piece(p)
+            out.append(seen[parts[0]] if len(parts) == 1 else b"".join([seen[p] for p in parts]))
+        self.known = seen
+        firsts = np.zeros(len(out) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, out), np.int64, len(out)) // 4, out=firsts[1:])
+        return pa.LargeListArray.from_arrays(pa.array(firsts), pa.array(np.frombuffer(b"".join(out), "<u4")))
+
+    def block(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each of some normalized texts."""
+        rows = pa.array(texts, pa.large_string())
+        for space in "\n\t\r":
+            rows = pc.replace_substring(rows, space, " ")
+        parts = pc.split_pattern(rows, " ")
+        coded, ends = parts.values.dictionary_encode(), parts.offsets.to_numpy()
+        del rows, parts
+        whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        distinct = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")  # faster than one by one
+        done = spread(self.chunk_ids(distinct), coded.indices.to_numpy(), ends)
+        ids, ends = done.values.to_numpy(), done.offsets.to_numpy().tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode_block(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; texts come as runs of about BLOCK bytes, a longer one by itself."""
+        special = {k: t for k, t in enumerate(texts) if "<|" in t and any(s in t for s in self.specials)}
+        plain = ["" if k in special else self.normal(t) for k, t in enumerate(texts)]
+        out = self.block(plain) if len(plain) != 1 else [np.concatenate([self.block([x])[0] for x in sections(plain[0], BLOCK)])]
+        for k, t in special.items():
+            out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if "<|" in text and any(s in text for s in self.specials):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # composed already, and each letter has one lower case
-        except UnicodeEncodeError:
-            text = self.tokenizer.normalizer.normalize_str(text)
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
+        return self.encode_block([text])[0]
+
+
+def sections(text: str, size: int) -> Iterator[str]:
+    """text cut before white space into parts of about size characters."""
+    at = 0
+    while space := SPACES.search(text, at + size):
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+def spread(lists: pa.LargeListArray, at: np.ndarray, ends: np.ndarray) -> pa.LargeListArray:
+    """lists[at], put together from each of ends to the next."""
+    taken = lists.take(pa.array(at))
+    return pa.LargeListArray.from_arrays(pa.array(taken.offsets.to_numpy()[ends]), taken.values)

@@ -8,7 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from larkspur.llm import chat, components, exact_dedup, jaccard, kneser_ney, mixing, packing, registry, repeats
+from larkspur.llm import chat, components, exact_dedup, jaccard, kneser_ney, mixing, packing, registry, repeats, wordbpe
 from larkspur.llm.wordbpe import WordIds
 from pyspark.sql import functions as F
 
@@ -124,6 +124,39 @@ def test_word_ids_equal_the_tokenizer():
         assert words.encode(t).tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_ids_tokenize_each_word_once():
+    """However many words are new between two uses of a word."""
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, word):
+            self.calls += 1
+            return self.model.tokenize(word)
+
+    words = WordIds(packing.tokenizer_path())
+    words.model = counted = Counted(words.model)
+    n, letters = 170_000, "abcdefghijklmnopqrstuvwxyz"
+    some = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(n)]
+    ids = words.encode(" ".join([*some, *some]))
+    assert counted.calls == n and ids[: len(ids) // 2].tolist() == ids[len(ids) // 2 :].tolist()
+    assert ids[:3000].tolist() == words.tokenizer.encode(" ".join(some[:3000]), add_special_tokens=False).ids[:3000]
+
+
+def test_word_ids_of_blocks_and_sections(monkeypatch):
+    """Texts beside each other, and one that is longer than a block, have the tokenizer's ids."""
+    words = WordIds(packing.tokenizer_path())
+    some = ["", "a, b; don't\n\n", "<|endoftext|>x", "ΑΣ  é̀, ½漢字.", " \t", "a, B; 3.5!", "1\x1c2\xa0\x0b3"]
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert [x.tolist() for x in words.encode_block(some)] == want == [x.tolist() for x in words.encode_block(some)]
+    assert words.encode_block([]) == []
+    monkeypatch.setattr(wordbpe, "BLOCK", 5)
+    assert [words.encode(t).tolist() for t in some] == want
+    text = "\n".join(some[1::2]) * 9
+    assert words.encode(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("length", [64, 4096])
 def test_packing(spark, docs, length):
     out = packing.pack_documents(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), length=length, with_ids=True).toPandas()
