@@ -2,7 +2,7 @@
 
 Such a tokenizer never merges across white space, so a block of texts is cut at spaces,
 its distinct chunks are cut into distinct pieces, and the tokenizer's own model sees each
-piece that the block before didn't have, once; ids are put together by Arrow. Ids equal
+piece that isn't remembered, once; ids are put together by Arrow. Ids equal
 ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 """
 
@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that share their chunks; a worker remembers the pieces of one block.
-BLOCK = 8 << 20
+#: Bytes of text that share their chunks.
+BLOCK = 4 << 20
+#: Bytes of pieces and their ids, each counted with the objects' own size, beyond which only those of the next block stay remembered.
+REMEMBERED, OBJECT = 16 << 20, 200
 #: Where texts are cut; other white space is left to the pieces.
 SPACES = re.compile(r"[ \n\t\r]")
 #: Unicode white space, for use inside a character class.
@@ -39,7 +41,7 @@ def byte_chars() -> list[str]:
 
 
 class WordIds:
-    """Ids of texts, by blocks; the pieces of the last block are remembered."""
+    """Ids of texts, by blocks; pieces are remembered from block to block."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,6 +57,7 @@ class WordIds:
         self.pieces = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.table = {i: c for i, c in enumerate(byte_chars())}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def normal(self, text: str) -> str:
         try:
@@ -69,7 +72,10 @@ class WordIds:
 
     def chunk_ids(self, chunks: list[str]) -> pa.LargeListArray:
         """The ids of each of some distinct chunks."""
-        known, seen, out = self.known, {}, []
+        older: dict[str, bytes] = {}
+        if self.held > REMEMBERED:
+            older, self.known, self.held = self.known, {}, 0
+        known, out = self.known, []
         for chunk in chunks:
             if chunk.isalpha():  # one piece; chunks are normalized already
                 parts = (chunk,)
@@ -78,10 +84,10 @@ class WordIds:
             else:
                 parts = self.pieces(chunk)
             for p in parts:
-                if p not in seen:
-                    seen[p] = known[p] if p in known else self.piece(p)
-            out.append(seen[parts[0]] if len(parts) == 1 else b"".join([seen[p] for p in parts]))
-        self.known = seen
+                if p not in known:
+                    known[p] = ids = older.get(p) or self.piece(p)
+                    self.held += OBJECT + len(p) + len(ids)
+            out.append(known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]))
         firsts = np.zeros(len(out) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, out), np.int64, len(out)) // 4, out=firsts[1:])
         return pa.LargeListArray.from_arrays(pa.array(firsts), pa.array(np.frombuffer(b"".join(out), "<u4")))

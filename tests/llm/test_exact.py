@@ -125,7 +125,7 @@ def test_word_ids_equal_the_tokenizer():
 
 
 def test_word_ids_tokenize_each_word_once():
-    """However many words are new between two uses of a word."""
+    """However many words of its block are new between two uses of a word."""
 
     class Counted:
         def __init__(self, model):
