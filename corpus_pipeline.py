@@ -26,18 +26,35 @@ names but those that start with ``_larkspur``; stage 5 returns its own columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup as exact
 from larkspur.llm import jaccard, langid, mixing, packing
 from larkspur.llm.common import text_of
-from larkspur.sources.shared import durable
+from larkspur.sources.shared import durable, shrink_heaps
 
 #: Share of the remaining tokens that the mix keeps.
 SHARE_PERCENT = 90
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def from_small_heaps(stage: Stage) -> Stage:
+    """stage, begun after executors have returned what the one before it left free in their heaps."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@from_small_heaps
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, weights = langid.train(docs.select("doc_id", "text", "lang"))
     if weights is None:
@@ -47,21 +64,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return labelled.withColumn("lang", F.col("_larkspur_lang")).select(*kept)
 
 
+@from_small_heaps
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicate(docs)
 
 
+@from_small_heaps
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard.jaccard_components(docs, with_digest=True)
     gone = durable(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_larkspur_gone"), F.col("text_digest").alias("_larkspur_text")).distinct(), "gone")
     return docs.join(gone.hint("merge"), (docs["doc_id"] == gone["_larkspur_gone"]) & (jaccard.text_digest(docs["text"]) == gone["_larkspur_text"]), "left_anti")
 
 
+@from_small_heaps
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs, mixing.WEIGHTS, SHARE_PERCENT, epochs=1).select(F.col("doc_id").alias("_larkspur_taken")).distinct()
     return docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["_larkspur_taken"]), "left_semi")
 
 
+@from_small_heaps
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, with_ids=True)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
 
@@ -49,6 +50,17 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have each executor collect its garbage, after which its JVM returns the free part of its heap to the system.
+
+    A heap that one step has grown otherwise stays as large beside the Python workers of the next one, and steps of one session add up.
+    A task for each executor and one more: idle executors get one each at least; a busy one that gets none only keeps its heap.
+    Nothing that is still referenced goes, and results do not depend on it.
+    """
+    n = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()  # counts the driver
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def discard(spark: SparkSession, *used: str | DataFrame) -> None:
     """Remove folders, or what durable() wrote, when nothing that is still to run reads them."""
     for x in used:

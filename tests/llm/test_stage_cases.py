@@ -33,3 +33,14 @@ def test_odd_rows_pass_through_the_stages(spark):
 def test_empty_documents(spark, empty_sf):
     out = pipeline.run(spark, empty_sf)
     assert out.count() == 0 and {"doc_id", "ids", "sequence_id"} <= set(out.columns)
+
+
+def test_each_stage_begins_with_a_collection(spark):
+    """Heaps that one stage has grown are given back before the next, or executors end with the sum of all stages."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a text of some words", "en", "src1")], "doc_id long, text string, lang string, source string")
+    for name, stage in pipeline.STAGES:
+        before = whole()
+        stage(spark, docs, "")
+        assert whole() > before, name
